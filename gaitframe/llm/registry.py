@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, sharding
+from . import exact_dedup, language_id, sharding, substring_dedup, suffix_dedup
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op2_sharding": sharding.op2_sharding,
+        "op3_substring_dedup": substring_dedup.op3_substring_dedup,
+        "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
         "op9_language_id": language_id.op9_language_id,
     }
 
