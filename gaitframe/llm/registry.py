@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, sharding, substring_dedup, suffix_dedup
+from . import exact_dedup, jaccard_join, language_id, sharding, substring_dedup, suffix_dedup
 
 
 def queries() -> dict:
@@ -11,9 +11,10 @@ def queries() -> dict:
         "op2_sharding": sharding.op2_sharding,
         "op3_substring_dedup": substring_dedup.op3_substring_dedup,
         "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
+        "op6_jaccard_join": jaccard_join.op6_jaccard_join,
         "op9_language_id": language_id.op9_language_id,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.OP1_SQL}
+    return {"op1_exact_dedup": exact_dedup.OP1_SQL, "op6_jaccard_join": jaccard_join.OP6_SQL}
