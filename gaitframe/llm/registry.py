@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, language_id, sharding, substring_dedup, suffix_dedup
+from . import decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, sharding, substring_dedup, suffix_dedup
 
 
 def queries() -> dict:
@@ -12,9 +12,11 @@ def queries() -> dict:
         "op3_substring_dedup": substring_dedup.op3_substring_dedup,
         "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
         "op6_jaccard_join": jaccard_join.op6_jaccard_join,
+        "op7_decontaminate": decontaminate.op7_decontaminate,
+        "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_language_id": language_id.op9_language_id,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.OP1_SQL, "op6_jaccard_join": jaccard_join.OP6_SQL}
+    return {"op1_exact_dedup": exact_dedup.OP1_SQL, "op6_jaccard_join": jaccard_join.OP6_SQL, "op8_line_dedup": line_dedup.OP8_SQL}
