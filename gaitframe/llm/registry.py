@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, sharding, substring_dedup, suffix_dedup
+from . import decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, sentencepiece_codec, sharding, substring_dedup, suffix_dedup
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op2_sharding": sharding.op2_sharding,
         "op3_substring_dedup": substring_dedup.op3_substring_dedup,
+        "op4_sentencepiece": sentencepiece_codec.op4_sentencepiece,
         "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
         "op6_jaccard_join": jaccard_join.op6_jaccard_join,
         "op7_decontaminate": decontaminate.op7_decontaminate,
