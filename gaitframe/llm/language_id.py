@@ -148,9 +148,9 @@ class Model:
         return [self.langs[b] if w else "und" for b, w in zip(best, words)], np.where(words > 0, share, 0.0)
 
 
-def _text_chunks(batches, limit: int = LIMIT):
+def _text_chunks(batches, limit: int = LIMIT, column: str = "_text"):
     for b in batches:
-        texts = [t or "" for t in b.column("_text").to_pylist()]
+        texts = [t or "" for t in b.column(column).to_pylist()]
         first, size = 0, 0
         for i, t in enumerate(texts):
             if size and size + len(t) > limit:
@@ -245,6 +245,20 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return rows.mapInArrow(run, f"_id {kind}, lang_pred string, score double").withColumnRenamed("_id", id_col)
 
 
+def keep_identified(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """docs, all columns, without the rows whose language is `und` or less likely than `least`; no shuffle."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    names = docs.columns
+
+    def run(batches):
+        for b, first, texts in _text_chunks(batches, column=text_col):
+            lang, score = sent.value.predict(texts)
+            keep = pa.array([g != "und" and s >= least for g, s in zip(lang, score)], pa.bool_())
+            yield pa.RecordBatch.from_arrays(b.slice(first, len(texts)).columns, names=names).filter(keep)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 

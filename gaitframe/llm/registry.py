@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, sentencepiece_codec, sharding, substring_dedup, suffix_dedup
+from . import decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, quality_classifier, sentencepiece_codec, sharding, substring_dedup, suffix_dedup
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_decontaminate": decontaminate.op7_decontaminate,
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_language_id": language_id.op9_language_id,
+        "op10_quality": quality_classifier.op10_quality,
     }
 
 
