@@ -9,13 +9,37 @@ MAD_SCALE = 1.4826
 DAY_US = 86_400_000_000
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with value computed once, however often use refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def middle(s: Column) -> Column:
+    """Median of a sorted array; null when empty."""
+    n = F.size(s)
+    return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2
+
+
 def array_median(a: Column) -> Column:
-    """Median of a sorted-on-the-fly array; null when empty."""
-    s = F.array_sort(a)
-    n = F.size(a)
-    lo = F.get(s, F.floor((n - 1) / 2).cast("int"))
-    hi = F.get(s, F.floor(n / 2).cast("int"))
-    return F.when(n > 0, (lo + hi) / 2)
+    return let(F.array_sort(a), middle)
+
+
+def robust_stats(a: Column) -> Column:
+    """Struct of centre, spread, kind and count of an array, each step computed once.
+
+    The spread is MAD * 1.4826, or the population standard deviation where that is 0; 0 below two values.
+    """
+
+    def with_centre(s: Column, c: Column) -> Column:
+        def with_mad(m: Column) -> Column:
+            n = F.size(s)
+            spread = F.when(n < 2, F.lit(0.0)).when(m > 0, m * MAD_SCALE).otherwise(array_stddev_pop(s))
+            kind = F.when(n < 2, "undefined").when(m > 0, "mad").otherwise("stdev")
+            return F.struct(c.alias("centre"), spread.alias("spread"), kind.alias("kind"), n.cast("long").alias("count"))
+
+        return let(array_median(F.transform(s, lambda v: F.abs(v - c))), with_mad)
+
+    return let(F.array_sort(a), lambda s: let(middle(s), lambda c: with_centre(s, c)))
 
 
 def array_sum(a: Column) -> Column:
@@ -24,8 +48,7 @@ def array_sum(a: Column) -> Column:
 
 def array_stddev_pop(a: Column) -> Column:
     n = F.size(a)
-    mean = array_sum(a) / n
-    return F.when(n > 0, F.sqrt(array_sum(F.transform(a, lambda x: (x - mean) * (x - mean))) / n))
+    return F.when(n > 0, let(array_sum(a) / n, lambda m: F.sqrt(array_sum(F.transform(a, lambda x: (x - m) * (x - m))) / n)))
 
 
 def box_area(b: Column) -> Column:

@@ -10,20 +10,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import DAY_US, MAD_SCALE, array_median, array_stddev_pop
+from ..functions import DAY_US, robust_stats
 
 LOOKBACK_DAYS, HERD_DAYS, MIN_OBSERVATIONS = 21, 3, 5
 ALERT, WATCH = 3.0, 2.0
 
 
-def spread_columns(values: Column, prefix: str) -> list[Column]:
-    """Centre, spread, kind and count of an array: MAD * 1.4826, the standard deviation where that is 0."""
-    centre = array_median(values)
-    mad = array_median(F.transform(values, lambda v: F.abs(v - centre))) * MAD_SCALE
-    n = F.size(values)
-    spread = F.when(n < 2, F.lit(0.0)).when(mad > 0, mad).otherwise(array_stddev_pop(values))
-    kind = F.when(n < 2, "undefined").when(mad > 0, "mad").otherwise("stdev")
-    return [centre.alias(f"{prefix}_centre"), spread.alias(f"{prefix}_spread"), kind.alias(f"{prefix}_kind"), n.alias(f"{prefix}_count")]
+def with_spread(df: DataFrame, values: str, prefix: str) -> DataFrame:
+    """df with centre, spread, kind and count of the array column values; the array goes."""
+    name = f"_{prefix}"
+    out = df.withColumn(name, robust_stats(F.col(values))).drop(values)
+    return out.withColumns({f"{prefix}_{c}": F.col(f"{name}.{c}") for c in ("centre", "spread", "kind", "count")}).drop(name)
 
 
 def own_history(long: DataFrame, lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
@@ -40,16 +37,16 @@ def herd(long: DataFrame, days: int = HERD_DAYS) -> DataFrame:
 
 
 def robust_z(value: Column, centre: Column, spread: Column) -> Column:
-    return F.when(spread > 0, (value - centre) / spread)
+    return (value - centre) / F.nullif(spread, F.lit(0.0))
 
 
 def deviations(long: DataFrame, worse_low: list[str] = ()) -> DataFrame:
     """own_z, herd_z and directed_z per pass and feature; directed_z is positive where the animal got worse."""
-    own = long.select("*", *spread_columns(F.col("own_values"), "own"))
+    own = with_spread(long, "own_values", "own")
     z = robust_z(F.col("value"), F.col("own_centre"), F.col("own_spread"))
     out = own.withColumn("own_z", z).withColumn("directed_z", F.when(F.col("feature").isin(list(worse_low)), -F.col("own_z")).otherwise(F.col("own_z")))
     if "herd_values" in long.columns:
-        out = out.select("*", *spread_columns(F.col("herd_values"), "herd")).withColumn("herd_z", robust_z(F.col("value"), F.col("herd_centre"), F.col("herd_spread")))
+        out = with_spread(out, "herd_values", "herd").withColumn("herd_z", robust_z(F.col("value"), F.col("herd_centre"), F.col("herd_spread")))
     return out
 
 
@@ -114,4 +111,4 @@ def recomputed(long: DataFrame, windows: DataFrame) -> DataFrame:
     w = windows.join(long.select("pass_id", "animal_id", "feature").distinct(), "pass_id")
     hist = long.select(F.col("animal_id"), F.col("feature"), F.col("us").alias("_us"), F.col("value").alias("_v"))
     got = w.join(hist, ["animal_id", "feature"], "left").filter((F.col("_us") >= F.col("start_us")) & (F.col("_us") < F.col("end_us")))
-    return got.groupBy("pass_id", "feature").agg(F.collect_list("_v").alias("v")).select("pass_id", "feature", *spread_columns(F.col("v"), "own"))
+    return with_spread(got.groupBy("pass_id", "feature").agg(F.collect_list("_v").alias("_v")), "_v", "own")
