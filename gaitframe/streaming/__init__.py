@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.perception import TRACK_SCHEMA, TrackState
+from ..operators.perception import TRACK_SCHEMA, TrackState, frames_of
 
 
 def frames(spark: SparkSession, path: str, schema: str, per_trigger: int = 16) -> DataFrame:
@@ -53,8 +53,8 @@ def track_stream(boxes: DataFrame, gap: int = 15, iou: float = 0.20) -> DataFram
         held = pickle.loads(state.get[0]) if state.exists else TrackState(str(key[0]), gap, iou)
         rows: list[tuple] = []
         pdf = pd.concat(list(parts))
-        for index, frame in pdf.sort_values(["frame_index", "position"]).groupby("frame_index"):
-            rows += held.frame(int(index), frame.dropna(subset=["x1"])[["x1", "y1", "x2", "y2"]].to_numpy(float))
+        for index, found in frames_of(pdf):
+            rows += held.frame(index, found)
         state.update((pickle.dumps(held),))
         yield pd.DataFrame(rows, columns=["source_id", "tracklet_id", "frame_index", "position", "x1", "y1", "x2", "y2", "reason"])
 
