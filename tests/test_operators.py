@@ -1,0 +1,94 @@
+import pytest
+from pyspark.sql import functions as F
+
+from gaitframe import errors
+from gaitframe.functions import DAY_US, robust_stats
+from gaitframe.operators import baseline, evaluation, events, identity, matching, passes, perception, recording
+from gaitframe.sources import layout
+
+
+def test_robust_stats(spark):
+    rows = spark.createDataFrame([([1.0, 2.0, 3.0, 10.0],), ([5.0, 5.0, 5.0, 6.0],), ([4.0],), ([],)], "v array<double>")
+    got = [r.s for r in rows.select(robust_stats(F.col("v")).alias("s")).collect()]
+    assert (got[0].centre, got[0].kind, got[0]["count"]) == (2.5, "mad", 4)
+    assert got[0].spread == pytest.approx(1.4826)
+    assert got[1].kind == "stdev" and got[1].spread == pytest.approx(0.4330127)
+    assert (got[2].spread, got[2].kind) == (0.0, "undefined") and got[3].centre is None
+
+
+def test_own_history_is_strictly_earlier(spark):
+    rows = [(i, 1, "s", t * DAY_US, "v", float(i)) for i, t in enumerate([1, 2, 2, 3, 40])]
+    long = spark.createDataFrame(rows, "pass_id long, animal_id long, site_key string, us long, feature string, value double")
+    got = {r.pass_id: sorted(r.own_values) for r in baseline.own_history(long).collect()}
+    assert got == {0: [], 1: [0.0], 2: [0.0], 3: [0.0, 1.0, 2.0], 4: []}
+    herd = {r.pass_id: sorted(r.herd_values) for r in baseline.herd(long).collect()}
+    assert herd[1] == [0.0, 2.0] and herd[4] == []
+
+
+def test_one_contributing_feature_has_infinite_uncertainty_and_no_confidence(spark):
+    rows = [(i, 1, "s", i * DAY_US, "v", float(i % 3)) for i in range(8)]
+    long = spark.createDataFrame(rows, "pass_id long, animal_id long, site_key string, us long, feature string, value double")
+    a = baseline.assess(baseline.deviations(baseline.own_history(long)))
+    e = {r.pass_id: r for r in events.build(a, "d").collect()}
+    assert e[7].state == "scored" and e[7].uncertainty is None and e[7].confidence == 0.0
+    assert e[2].state == "insufficient_history" and e[2].shortfall == 3 and e[2].level == "observation"
+    assert len(e[7].idempotency_key) == 32
+
+
+def test_herd_shift_moves_own_but_not_herd_deviation(spark):
+    rows = [(a * 100 + d, a, "s", d * DAY_US + a, "speed", 0.75 + 0.01 * ((a + d) % 3) - (0.3 if d >= 8 else 0.0)) for a in range(4) for d in range(12)]
+    long = spark.createDataFrame(rows, "pass_id long, animal_id long, site_key string, us long, feature string, value double")
+    d = {r.pass_id: r for r in baseline.deviations(baseline.herd(baseline.own_history(long)), ["speed"]).collect()}
+    assert d[308].directed_z > 3 and abs(d[311].herd_z) < 3
+
+
+def test_greedy_takes_each_box_once(spark):
+    rows = [(1, 0, 0, 0.9), (1, 0, 1, 0.8), (1, 1, 0, 0.85), (1, 1, 1, 0.6)]
+    pairs = spark.createDataFrame(rows, "frame int, pi int, ti int, iou double")
+    m = matching.greedy(pairs, ["frame"]).first().matches
+    assert [(x.pi, x.ti) for x in m] == [(0, 0), (1, 1)]
+
+
+def test_interval_join_is_closed_and_gives_each_pair_once(spark):
+    h = identity.HOUR_US
+    t = spark.createDataFrame([(1, "s", None, 0, 5 * h), (2, "s", "c", 6 * h, 7 * h)], "tracklet_id int, site_key string, camera_id string, start_us long, end_us long")
+    a = spark.createDataFrame([(7, "s", None, 5 * h, 6 * h), (8, "s", "d", 0, 9 * h)], "animal_id int, site_key string, camera_id string, from_us long, to_us long")
+    got = sorted((r.tracklet_id, r.animal_id) for r in identity.interval_join(t, a).collect())
+    assert got == [(1, 7), (1, 8), (2, 7)]
+
+
+def test_segment_leaves_a_partial_tail(spark):
+    pos = [0.1, 0.3, 0.6, 0.9, 0.95, 0.1, 0.3]
+    rows = spark.createDataFrame([("t", i, p) for i, p in enumerate(pos)], "tracklet_id string, frame_index long, position double")
+    got = [(r.first_frame, r.last_frame, r.completeness) for r in passes.segment(rows).collect()]
+    assert got == [(1, 3, "complete"), (4, 6, "partial")]
+
+
+def test_tracker_reasons(spark):
+    rows = [("s", f, 0, 10.0 + f, 0.0, 30.0 + f, 20.0) for f in range(5)] + [("s", f, None, None, None, None, None) for f in range(5, 25)]
+    b = spark.createDataFrame(rows, "source_id string, frame_index long, position long, x1 double, y1 double, x2 double, y2 double")
+    got = perception.track(b).collect()
+    assert len(got) == 5 and {r.reason for r in got} == {"detection_failure"} and len({r.tracklet_id for r in got}) == 1
+
+
+def test_split_is_disjoint_and_checked(spark):
+    items = spark.createDataFrame([(i, f"a{i % 6}") for i in range(24)], "item long, animal string")
+    parts = evaluation.split(items, "animal")
+    evaluation.assert_no_leakage(parts, "animal")
+    assert parts.filter("part = 'test'").select("animal").distinct().count() == 2
+    with pytest.raises(errors.LeakageError):
+        evaluation.assert_no_leakage(items.withColumn("part", F.when(F.col("item") < 12, "test").otherwise("train")), "animal")
+    with pytest.raises(errors.MissingFieldError):
+        evaluation.split(spark.createDataFrame([(1, None)], "item int, animal string"), "animal")
+
+
+def test_recording_fail_outweighs_unknown(spark):
+    c = spark.createDataFrame([("r", "a", "pass"), ("r", "b", "unknown"), ("q", "a", "fail"), ("q", "b", "unknown")], "recording string, rule string, status string")
+    assert {r.recording: r.status for r in recording.combined(c).collect()} == {"r": "unknown", "q": "fail"}
+
+
+def test_layout_template():
+    pattern, names = layout.template_regex("root/{day}/{animal}/{frame}_{camera}.jpg")
+    assert names == ["day", "animal", "frame", "camera"]
+    with pytest.raises(errors.LayoutError):
+        layout.template_regex("root/none.jpg")
