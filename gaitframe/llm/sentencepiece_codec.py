@@ -133,6 +133,8 @@ def fold_word(word: str, table: PieceTable) -> list[int]:
     if table.kind != "bpe":
         return _best_path(word, table)
     rank, n = table.scores, len(word)
+    if n <= 64:
+        return _short_merges(word, table)
     left, right, end, dead = list(range(-1, n - 1)), list(range(1, n + 1)), list(range(1, n + 1)), bytearray(n)
     queue: list[tuple[float, int, int]] = []
 
@@ -164,6 +166,28 @@ def fold_word(word: str, table: PieceTable) -> list[int]:
     return out
 
 
+def _short_merges(word: str, table: PieceTable) -> list[int]:
+    """Best-first joining with the neighbours' scores kept in a list; quadratic, so for short words only."""
+    find, none = table.scores.get, float("-inf")
+    parts = list(word)
+    scores = [find(a + b, none) for a, b in zip(parts, parts[1:])]
+    while scores:
+        best = max(scores)
+        if best == none:
+            break
+        i = scores.index(best)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        del scores[i]
+        if i < len(scores):
+            scores[i] = find(parts[i] + parts[i + 1], none)
+        if i:
+            scores[i - 1] = find(parts[i - 1] + parts[i], none)
+    out: list[int] = []
+    for p in parts:
+        _put(p, table, out)
+    return out
+
+
 def _put(piece: str, table: PieceTable, out: list[int]) -> None:
     k = table.ids.get(piece)
     if k is not None:
