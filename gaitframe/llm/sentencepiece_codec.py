@@ -12,13 +12,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import Scratch
+from .shared import Scratch, chunks
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: U+2581 stands for a space inside pieces.
 GAP = "▁"
 #: Words encoded once by the lattice and sent to every task; the rest are folded where they stand.
 FREQUENT = 1 << 16
+#: Bytes of text whose words are looked up at once.
+SLICE = 1 << 22
 
 
 @dataclass
@@ -133,8 +135,6 @@ def fold_word(word: str, table: PieceTable) -> list[int]:
     if table.kind != "bpe":
         return _best_path(word, table)
     rank, n = table.scores, len(word)
-    if n <= 64:
-        return _short_merges(word, table)
     left, right, end, dead = list(range(-1, n - 1)), list(range(1, n + 1)), list(range(1, n + 1)), bytearray(n)
     queue: list[tuple[float, int, int]] = []
 
@@ -166,28 +166,6 @@ def fold_word(word: str, table: PieceTable) -> list[int]:
     return out
 
 
-def _short_merges(word: str, table: PieceTable) -> list[int]:
-    """Best-first joining with the neighbours' scores kept in a list; quadratic, so for short words only."""
-    find, none = table.scores.get, float("-inf")
-    parts = list(word)
-    scores = [find(a + b, none) for a, b in zip(parts, parts[1:])]
-    while scores:
-        best = max(scores)
-        if best == none:
-            break
-        i = scores.index(best)
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        del scores[i]
-        if i < len(scores):
-            scores[i] = find(parts[i] + parts[i + 1], none)
-        if i:
-            scores[i - 1] = find(parts[i - 1] + parts[i], none)
-    out: list[int] = []
-    for p in parts:
-        _put(p, table, out)
-    return out
-
-
 def _put(piece: str, table: PieceTable, out: list[int]) -> None:
     k = table.ids.get(piece)
     if k is not None:
@@ -216,13 +194,177 @@ def _best_path(word: str, table: PieceTable) -> list[int]:
     return out
 
 
+class Merges:
+    """The same joining for many short words at once: symbols are numbers, words are rows of a matrix."""
+
+    def __init__(self, table: PieceTable):
+        self.table, self.texts = table, list(table.ids)
+        self.number = {t: k for k, t in enumerate(self.texts)}
+        for p in table.ids:  # characters that occur in pieces only
+            for c in p:
+                self._add(c)
+        size = len(self.texts)
+        pairs = {self.number[p[:i]] * size + self.number[p[i:]]: self.number[p] for p in table.ids for i in range(1, len(p)) if p[:i] in self.number and p[i:] in self.number}
+        self.size = size
+        self.keys = np.array([*sorted(pairs), np.iinfo(np.int64).max])
+        self.makes = np.array([*(pairs[k] for k in sorted(pairs)), -1])
+        self.score = np.array([table.scores.get(t, -np.inf) for t in self.texts] + [-np.inf])
+        self.ids = pa.array([], pa.list_(pa.int32()))
+        self._outputs()
+
+    def _add(self, char: str) -> None:
+        if char not in self.number:
+            self.number[char] = len(self.texts)
+            self.texts.append(char)
+
+    def _outputs(self) -> None:
+        ids: list[list[int]] = []
+        for t in self.texts[len(self.ids) :]:
+            _put(t, self.table, out := [])
+            ids.append(out)
+        self.ids = pa.concat_arrays([self.ids, pa.array(ids, pa.list_(pa.int32()))])
+
+    def joined(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The symbol two neighbours make, -1 for none."""
+        inside = (a >= 0) & (b >= 0) & (a < self.size) & (b < self.size)
+        key = np.where(inside, a * self.size + b, -1)
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.makes[at], -1)
+
+    def fold(self, words: list[str]) -> pa.ListArray:
+        """ids of each word."""
+        if not words:
+            return pa.array([], pa.list_(pa.int32()))
+        known = len(self.texts)
+        for c in set("".join(words)):
+            self._add(c)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        text = "".join(words)
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        chars, back = np.unique(codes, return_inverse=True)
+        symbols = np.array([self.number[chr(c)] for c in chars.tolist()])[back]
+        if len(self.texts) > known:
+            self._outputs()
+        first = np.cumsum(lengths) - lengths
+        order = np.argsort(lengths, kind="stable")
+        found: list[tuple[np.ndarray, np.ndarray]] = []  # word, its symbols with -1 at the end
+        for k in range(0, len(order), 4096):
+            rows = order[k : k + 4096]
+            place = np.arange(lengths[rows[-1]])
+            grid = np.where(place < lengths[rows][:, None], symbols[np.minimum(first[rows][:, None] + place, len(symbols) - 1)], -1)
+            found += self._blocks(rows, grid)
+        number = np.concatenate([np.repeat(w, (g >= 0).sum(1)) for w, g in found])
+        flat = np.concatenate([g[g >= 0] for _, g in found])
+        flat = flat[np.argsort(number, kind="stable")]
+        count = np.bincount(number, minlength=len(words))
+        lists = self.ids.take(pa.array(flat))
+        ends = lists.offsets.to_numpy()[np.concatenate(([0], np.cumsum(count)))]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), lists.values)
+
+    def _blocks(self, rows: np.ndarray, grid: np.ndarray):
+        pair = self.joined(grid[:, :-1], grid[:, 1:])
+        while pair.shape[1]:
+            score = self.score[pair]
+            best = score.argmax(1)
+            line = np.arange(len(rows))
+            more = score[line, best] > -np.inf
+            if not more.all():
+                yield rows[~more], grid[~more]
+                rows, grid, pair, best = rows[more], grid[more], pair[more], best[more]
+                line = line[: len(rows)]
+            if not len(rows):
+                return
+            made = pair[line, best]
+            wide = np.arange(grid.shape[1] - 1)
+            grid = np.take_along_axis(grid, wide + (wide > best[:, None]), 1)
+            grid[line, best] = made
+            wide = wide[:-1]
+            pair = np.take_along_axis(pair, wide + (wide >= best[:, None]), 1)
+            for shift in (0, -1):  # the two pairs the new symbol is in
+                at = line[(best + shift >= 0) & (best + shift < pair.shape[1])]
+                col = best[at] + shift
+                pair[at, col] = self.joined(grid[at, col], grid[at, col + 1])
+        yield rows, grid
+
+
+class Encoder:
+    """ids of any words (bytes, gaps as spaces): the given ones are known, the others are folded in place and kept for a while."""
+
+    HELD = 600_000
+
+    def __init__(self, table: PieceTable, known: list[bytes], ids: pa.ListArray):
+        self.table, self.merges = table, Merges(table) if table.kind == "bpe" else None
+        self.known, self.known_ids = {w: k for k, w in enumerate(known)}, ids
+        self.held, self.ids = dict(self.known), ids
+
+    def __call__(self, words: list[bytes]) -> pa.ListArray:
+        if len(self.held) > len(self.known) + self.HELD:
+            self.held, self.ids = dict(self.known), self.known_ids
+        new = [w for w in words if w not in self.held]
+        texts = [w.decode("utf-8", "replace").replace(" ", GAP) for w in new]
+        short = [k for k, t in enumerate(texts) if len(t) <= 64 and self.merges]
+        rest = [k for k, t in enumerate(texts) if not (len(t) <= 64 and self.merges)]
+        folded = pa.array([fold_word(texts[k], self.table) for k in rest], pa.list_(pa.int32()))
+        parts = [self.ids, folded] + ([self.merges.fold([texts[k] for k in short])] if self.merges else [])
+        at = len(self.ids)
+        for k in [*rest, *short]:
+            self.held[new[k]] = at
+            at += 1
+        self.ids = pa.concat_arrays([plain(x) for x in parts])
+        out = self.ids.take(pa.array([self.held[w] for w in words], pa.int32()))
+        for k in rest:  # words without bound on their length are not kept
+            if len(new[k]) > 256:
+                del self.held[new[k]]
+        return out
+
+
+def plain(lists: pa.ListArray) -> pa.ListArray:
+    """Lists of 32-bit numbers, the items' field without name or nullability of its own."""
+    return lists.cast(pa.list_(pa.int32()))
+
+
+def segments(texts: list[bytes | None], table: PieceTable) -> tuple[pa.Array, np.ndarray]:
+    """Words of all texts, gaps as spaces, dictionary-encoded, and how many words each text has."""
+    parts = [b" " + t.replace(GAP.encode(), b" ") if t else b"" for t in texts]
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    if not sizes.any():
+        return pa.array([], pa.binary()).dictionary_encode(), np.zeros(len(parts), dtype=np.int64)
+    if not table.pattern.startswith(r"\n|"):  # models whose pieces hold newlines or inner gaps
+        find = re.compile(table.pattern).findall
+        lists = [[w.replace(GAP, " ").encode() for w in find(p.decode("utf-8", "replace").replace(" ", GAP))] for p in parts]
+        return pa.array([w for x in lists for w in x], pa.binary()).dictionary_encode(), np.fromiter(map(len, lists), np.int64, len(lists))
+    data = b"".join(parts)
+    codes = np.frombuffer(data, dtype=np.uint8)
+    line, gap = codes == 10, codes == 32
+    start = line | gap
+    start[1:] &= line[1:] | ~gap[:-1]
+    start[1:] |= line[:-1]
+    ends = np.cumsum(sizes)
+    start[(ends - sizes)[sizes > 0]] = True
+    at = np.flatnonzero(start)
+    offsets = np.append(at, len(data)).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    count = np.diff(np.searchsorted(at, np.concatenate(([0], ends))))
+    return words.dictionary_encode(), count
+
+
 # --- documents -------------------------------------------------------------------------------------
 
 
 def frequent_words(docs: DataFrame, table: PieceTable, text_col: str, keep: int, scratch: Scratch) -> DataFrame:
     """At most keep words (_w): those of the counts at which, from the top, they still fit."""
-    words = docs.select(F.explode(F.regexp_extract_all(marked(F.col(text_col)), F.lit(table.pattern), F.lit(0))).alias("_w"))
-    counts = scratch.write(words.filter("length(_w) <= 64").groupBy("_w").count().filter("count > 1"), "words")
+    sent = docs.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches):
+        for _, _, texts in chunks(batches, "_t", SLICE):
+            words, _ = segments(texts, sent.value)
+            n = np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))
+            yield pa.RecordBatch.from_arrays([words.dictionary, pa.array(n, pa.int64())], names=["_w", "n"])
+
+    words = docs.select(F.col(text_col).cast("binary").alias("_t")).mapInArrow(run, "_w binary, n long")
+    words = words.groupBy("_w").agg(F.sum("n").alias("count")).filter("count > 1")
+    words = words.select(F.replace(F.col("_w").cast("string"), F.lit(" "), F.lit(GAP)).alias("_w"), "count")
+    counts = scratch.write(words.filter("length(_w) <= 64"), "words")
     level = F.floor(F.log2("count") * 8).cast("int")
     left, floor_ = keep, None
     for r in sorted(counts.groupBy(level.alias("_l")).count().collect(), key=lambda r: -r["_l"]):  # at most 8 * 63 rows
@@ -248,37 +390,44 @@ def encode(docs: DataFrame, table: PieceTable, text_col: str = "text", ids_col:
     """
     scratch = Scratch(docs.sparkSession, "pieces")
     known = encode_words(frequent_words(docs, table, text_col, frequent, scratch), table).toArrow()
-    words = dict(zip(known.column("_w").to_pylist(), (tuple(x) for x in known.column("ids").to_pylist())))
-    sent = docs.sparkSession.sparkContext.broadcast((table, words))
+    keys = [w.replace(GAP, " ").encode() for w in known.column("_w").to_pylist()]
+    sent = docs.sparkSession.sparkContext.broadcast((table, keys, plain(pa.concat_arrays([pa.array([], pa.list_(pa.int32())), *map(plain, known.column("ids").chunks)]))))
     base = docs.drop(ids_col)
     schema = T.StructType([*base.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
 
     def run(batches):
-        table, known = sent.value
-        find = re.compile(table.pattern).findall
-        held: dict[str, tuple[int, ...]] = {}
-        for b in batches:
-            for i in range(0, b.num_rows, 512):
-                part = b.slice(i, 512)
-                flat: list[int] = []
-                ends = [0]
-                for t in part.column(text_col).to_pylist():
-                    for w in find(GAP + t.replace(" ", GAP)) if t else ():
-                        ids = known.get(w) or held.get(w)
-                        if ids is None:
-                            if len(held) > 200_000:
-                                held.clear()
-                            ids = tuple(fold_word(w, table))
-                            if len(w) <= 64:
-                                held[w] = ids
-                        flat += ids
-                    ends.append(len(flat))
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, dtype=np.int32)))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, ids_col])
+        encoder = Encoder(*sent.value)
+        for batch in batches:
+            column = pa.RecordBatch.from_arrays([batch.column(text_col).cast(pa.binary())], names=["_t"])
+            for _, first, texts in chunks([column], "_t", SLICE):
+                words, count = segments(texts, sent.value[0])
+                lists = encoder(words.dictionary.to_pylist()).take(words.indices)
+                ends = lists.offsets.to_numpy()[np.concatenate(([0], np.cumsum(count)))]
+                part = batch.slice(first, len(texts))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), lists.values)], names=[*part.schema.names, ids_col])
 
     return base.mapInArrow(run, schema)
 
 
+def texts_of(lists: pa.ListArray, pieces: pa.BinaryArray) -> pa.Array:
+    """Pieces of each list in one text, without the gap before it."""
+    bytes_ = pieces.take(lists.flatten())
+    count = np.diff(lists.offsets.to_numpy()) * lists.is_valid().to_numpy(False)
+    cuts = np.concatenate(([0], np.cumsum(count)))
+    at = np.frombuffer(bytes_.buffers()[1], dtype=np.int32)[cuts] if len(bytes_) else cuts
+    data = np.frombuffer(bytes_.buffers()[2] or b"", dtype=np.uint8)[: at[-1]]
+    begin = at[:-1][np.diff(at) > 0]
+    begin = begin[data[begin] == 32]
+    at = at - np.searchsorted(begin, at)
+    data = np.delete(data, begin)
+    gone = None if not lists.null_count else pa.py_buffer(np.packbits(lists.is_valid().to_numpy(False), bitorder="little"))
+    out = pa.Array.from_buffers(pa.binary(), len(lists), [gone, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)])
+    try:
+        return out.cast(pa.string())
+    except pa.ArrowInvalid:  # bytes of some text are no UTF-8
+        return pa.array([None if t is None else t.decode("utf-8", "replace") for t in out.to_pylist()], pa.string())
+
+
 def decode(rows: DataFrame, table: PieceTable, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """rows with text_col, the text of the piece ids; bytes that are no UTF-8 become U+FFFD, null ids null."""
     sent = rows.sparkSession.sparkContext.broadcast(table)
@@ -289,14 +438,11 @@ def decode(rows: DataFrame, table: PieceTable, ids_col: str = "ids", text_col: s
         raw = [b"" if i in table.control else t.replace(GAP, " ").encode() for i, t in enumerate(table.texts)]
         for v, i in enumerate(table.bytes_):
             raw[i] = bytes([v])
+        pieces = pa.array(raw, pa.binary())
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)
-                out = []
-                for ids in part.column(ids_col).to_pylist():
-                    t = None if ids is None else b"".join([raw[k] for k in ids]).decode("utf-8", "replace")
-                    out.append(t[1:] if t and t[0] == " " else t)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.string())], names=[*part.schema.names, text_col])
+                yield pa.RecordBatch.from_arrays([*part.columns, texts_of(part.column(ids_col), pieces)], names=[*part.schema.names, text_col])
 
     return base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField(text_col, T.StringType())]))
 
