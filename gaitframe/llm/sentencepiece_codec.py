@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,7 +21,7 @@ GAP = "▁"
 #: Words encoded once by the lattice and sent to every task; the rest are folded where they stand.
 FREQUENT = 1 << 16
 #: Bytes of text whose words are looked up at once.
-SLICE = 1 << 22
+SLICE = 1 << 21
 
 
 @dataclass
@@ -290,7 +291,7 @@ class Merges:
 class Encoder:
     """ids of any words (bytes, gaps as spaces): the given ones are known, the others are folded in place and kept for a while."""
 
-    HELD = 600_000
+    HELD = 150_000
 
     def __init__(self, table: PieceTable, known: list[bytes], ids: pa.ListArray):
         self.table, self.merges = table, Merges(table) if table.kind == "bpe" else None
@@ -374,7 +375,7 @@ def frequent_words(docs: DataFrame, table: PieceTable, text_col: str, keep: int,
     return counts.filter(F.lit(False) if floor_ is None else level >= floor_).select("_w")
 
 
-def encode(docs: DataFrame, table: PieceTable, text_col: str = "text", ids_col: str = "ids", frequent: int = FREQUENT) -> DataFrame:
+def encode(docs: DataFrame, table: PieceTable, text_col: str = "text", ids_col: str = "ids", frequent: int = FREQUENT, check_col: str | None = None, drop_text: bool = False) -> DataFrame:
     """docs with ids_col, the piece ids of each text, as the sentencepiece library encodes it.
 
     The lattice is relational: all substrings of a word up to the longest piece are joined to the piece
@@ -387,16 +388,20 @@ def encode(docs: DataFrame, table: PieceTable, text_col: str = "text", ids_col:
     Null and empty texts have no ids. Any text comes back from `decode` but for U+2581, which the model reads
     as a space. An existing column of the name ids_col is replaced; others pass through. Repeated rows and
     null ids are as any other row. An empty table gives an empty result.
+
+    check_col adds whether decoding gives the text again, in the same pass; drop_text leaves the text out.
     """
     scratch = Scratch(docs.sparkSession, "pieces")
     known = encode_words(frequent_words(docs, table, text_col, frequent, scratch), table).toArrow()
     keys = [w.replace(GAP, " ").encode() for w in known.column("_w").to_pylist()]
     sent = docs.sparkSession.sparkContext.broadcast((table, keys, plain(pa.concat_arrays([pa.array([], pa.list_(pa.int32())), *map(plain, known.column("ids").chunks)]))))
-    base = docs.drop(ids_col)
-    schema = T.StructType([*base.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
+    checks = [check_col] if check_col else []
+    base = docs.drop(ids_col, *checks)
+    passed = [f for f in base.schema.fields if not (drop_text and f.name == text_col)]
+    schema = T.StructType([*passed, T.StructField(ids_col, T.ArrayType(T.IntegerType())), *[T.StructField(c, T.BooleanType()) for c in checks]])
 
     def run(batches):
-        encoder = Encoder(*sent.value)
+        encoder, pieces = Encoder(*sent.value), piece_bytes(sent.value[0])
         for batch in batches:
             column = pa.RecordBatch.from_arrays([batch.column(text_col).cast(pa.binary())], names=["_t"])
             for _, first, texts in chunks([column], "_t", SLICE):
@@ -404,11 +409,22 @@ def encode(docs: DataFrame, table: PieceTable, text_col: str = "text", ids_col:
                 lists = encoder(words.dictionary.to_pylist()).take(words.indices)
                 ends = lists.offsets.to_numpy()[np.concatenate(([0], np.cumsum(count)))]
                 part = batch.slice(first, len(texts))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), lists.values)], names=[*part.schema.names, ids_col])
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), lists.values)
+                out = {f.name: part.column(f.name) for f in passed} | {ids_col: ids}
+                for c in checks:
+                    out[c] = pc.equal(texts_of(ids, pieces), pc.fill_null(part.column(text_col), ""))
+                yield pa.RecordBatch.from_pydict(out)
 
     return base.mapInArrow(run, schema)
 
 
+def piece_bytes(table: PieceTable) -> pa.BinaryArray:
+    raw = [b"" if i in table.control else t.replace(GAP, " ").encode() for i, t in enumerate(table.texts)]
+    for v, i in enumerate(table.bytes_):
+        raw[i] = bytes([v])
+    return pa.array(raw, pa.binary())
+
+
 def texts_of(lists: pa.ListArray, pieces: pa.BinaryArray) -> pa.Array:
     """Pieces of each list in one text, without the gap before it."""
     bytes_ = pieces.take(lists.flatten())
@@ -435,10 +451,7 @@ def decode(rows: DataFrame, table: PieceTable, ids_col: str = "ids", text_col: s
 
     def run(batches):
         table = sent.value
-        raw = [b"" if i in table.control else t.replace(GAP, " ").encode() for i, t in enumerate(table.texts)]
-        for v, i in enumerate(table.bytes_):
-            raw[i] = bytes([v])
-        pieces = pa.array(raw, pa.binary())
+        pieces = piece_bytes(table)
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)
@@ -449,13 +462,8 @@ def decode(rows: DataFrame, table: PieceTable, ids_col: str = "ids", text_col: s
 
 def digest(docs: DataFrame, table: PieceTable, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_pieces, ids_hash and round_trip (whether decoding gives the text again) of every row."""
-    rows = decode(encode(docs.select(id_col, text_col), table, text_col), table)
-    return rows.select(
-        id_col,
-        F.size("ids").cast("long").alias("n_pieces"),
-        F.xxhash64("ids").alias("ids_hash"),
-        (F.col("decoded") == F.coalesce(F.col(text_col), F.lit(""))).alias("round_trip"),
-    )
+    rows = encode(docs.select(id_col, text_col), table, text_col, check_col="round_trip", drop_text=True)
+    return rows.select(id_col, F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "round_trip")
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str, model: str = MODEL) -> DataFrame:

@@ -180,6 +180,10 @@ def test_sentencepiece(spark, docs):
         got = sentencepiece_codec.encode(docs, table, frequent=frequent)
         assert all(list(r.ids) == (sp.encode(r.text) if r.text else []) for r in got.collect())
     assert all(r.round_trip for r in sentencepiece_codec.digest(docs, table).collect())
+    back = sentencepiece_codec.decode(sentencepiece_codec.encode(docs, table), table)
+    assert all(r.decoded == (r.text or "") for r in back.collect())
+    odd = spark.createDataFrame([(1, None), (2, []), (3, [1, table.bytes_[0xFF], table.ids["▁a"]])], "doc_id int, ids array<int>")
+    assert [r.decoded for r in sentencepiece_codec.decode(odd, table).orderBy("doc_id").collect()] == [None, "", "\ufffd a"]
     assert sentencepiece_codec.encode(docs.limit(0), table).count() == 0
 
 
