@@ -22,6 +22,8 @@ GAP = "▁"
 FREQUENT = 1 << 16
 #: Bytes of text whose words are looked up at once.
 SLICE = 1 << 21
+#: Piece ids decoded at once.
+IDS = 1 << 20
 
 
 @dataclass
@@ -453,9 +455,12 @@ def decode(rows: DataFrame, table: PieceTable, ids_col: str = "ids", text_col: s
         table = sent.value
         pieces = piece_bytes(table)
         for b in batches:
-            for i in range(0, b.num_rows, 512):
-                part = b.slice(i, 512)
+            ends, i = b.column(ids_col).offsets.to_numpy(), 0
+            while i < b.num_rows:  # rows of about IDS ids; a longer one comes alone
+                n = max(1, int(np.searchsorted(ends, ends[i] + IDS, "right")) - 1 - i)
+                part = b.slice(i, n)
                 yield pa.RecordBatch.from_arrays([*part.columns, texts_of(part.column(ids_col), pieces)], names=[*part.schema.names, text_col])
+                i += n
 
     return base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField(text_col, T.StringType())]))
 
