@@ -112,3 +112,35 @@ def recomputed(long: DataFrame, windows: DataFrame) -> DataFrame:
     hist = long.select(F.col("animal_id"), F.col("feature"), F.col("us").alias("_us"), F.col("value").alias("_v"))
     got = w.join(hist, ["animal_id", "feature"], "left").filter((F.col("_us") >= F.col("start_us")) & (F.col("_us") < F.col("end_us")))
     return with_spread(got.groupBy("pass_id", "feature").agg(F.collect_list("_v").alias("_v")), "_v", "own")
+
+
+def within(targets: DataFrame, long: DataFrame, key: str, start: str, end: str, prefix: str) -> DataFrame:
+    """Per pass_id and feature of targets the other passes' values of one key inside [start, end), and their count.
+
+    A window is dealt into the days it touches and an observation lies in one day, so the join has equality
+    keys, a busy key is spread over its days and each observation is met once.
+    """
+    day = lambda us: F.floor(us / DAY_US)
+    t = targets.select("pass_id", "feature", key, start, end).filter(F.col(start) < F.col(end))
+    t = t.withColumn("_day", F.explode(F.sequence(day(F.col(start)), day(F.col(end) - 1))))
+    h = long.select(F.col(key).alias("_k"), F.col("feature").alias("_f"), F.col("us").alias("_us"), F.col("value").alias("_v"), F.col("pass_id").alias("_p"), day(F.col("us")).alias("_d"))
+    on = (F.col(key) == F.col("_k")) & (F.col("feature") == F.col("_f")) & (F.col("_day") == F.col("_d"))
+    on = on & (F.col("_us") >= F.col(start)) & (F.col("_us") < F.col(end)) & (F.col("_p") != F.col("pass_id"))
+    return t.join(h, on).groupBy("pass_id", "feature").agg(F.collect_list("_v").alias(f"{prefix}_values"), F.count("*").alias(f"{prefix}_rows"))
+
+
+def recomputed_scores(long: DataFrame, windows: DataFrame, worse_low: list[str] = (), min_observations: int = MIN_OBSERVATIONS) -> DataFrame:
+    """assess again, own and herd summaries and score, for every pass in windows, from its recorded bounds alone.
+
+    windows: pass_id, own_start_us, own_end_us, herd_start_us, herd_end_us, one row a pass, half open. Nothing
+    is taken from own_history or herd, so a window recorded wrongly gives another score. As in the
+    reference, a pass that is not scored has no herd deviation.
+    """
+    targets = long.join(windows, "pass_id")
+    own = within(targets, long, "animal_id", "own_start_us", "own_end_us", "own")
+    near = within(targets, long, "site_key", "herd_start_us", "herd_end_us", "herd").drop("herd_rows")
+    rows = targets.join(own, ["pass_id", "feature"], "left").join(near, ["pass_id", "feature"], "left")
+    none = F.array().cast("array<double>")
+    rows = rows.withColumns({"own_values": F.coalesce("own_values", none), "herd_values": F.coalesce("herd_values", none), "own_rows": F.coalesce("own_rows", F.lit(0))})
+    out = assess(deviations(rows, worse_low), min_observations)
+    return out.withColumn("herd_deviation", F.when(F.col("state") == "scored", F.col("herd_deviation")))

@@ -98,6 +98,27 @@ def recompute(spark, sf_dir):
     return baseline.recomputed(lo, windows).select("pass_id", "feature", *r6("own_centre", "own_spread"), F.col("own_count").cast("long").alias("own_count"))
 
 
+# recompute and its SQL audit one pass in fifty; this one takes every pass, and the herd and the score too.
+@query(
+    "recompute_scores",
+    f"""WITH {LONG.replace("event_type AS site_key", "event_type || '-' || (user_id % 20) AS site_key")}, {_OWN},
+hw AS (SELECT *, count(value) OVER v AS hn, median(value) OVER v AS hc, mad(value) OVER v * 1.4826 AS hm, stddev_pop(value) OVER v AS hsd FROM long
+  WINDOW v AS (PARTITION BY site_key, feature ORDER BY us RANGE BETWEEN {3 * DAY_US} PRECEDING AND 999999 FOLLOWING EXCLUDE CURRENT ROW)),
+hs AS (SELECT *, CASE WHEN hn < 2 THEN 0 WHEN hm > 0 THEN hm ELSE hsd END AS sp FROM hw),
+hd AS (SELECT pass_id, avg(CASE WHEN sp > 0 THEN (value - hc) / sp END) AS herd FROM hs GROUP BY pass_id)
+SELECT pass_id, state, observations_available, round(CASE WHEN state = 'scored' THEN risk END, 6) AS risk_score, round(CASE WHEN observations_available >= 5 THEN own END, 6) AS own_deviation,
+  round(CASE WHEN state = 'scored' THEN herd END, 6) AS herd_deviation, round(CASE WHEN state = 'scored' AND n > 1 THEN sd / sqrt(n) END, 6) AS uncertainty FROM r JOIN hd USING (pass_id)""",
+)
+def recompute_scores(spark, sf_dir):
+    lo = views.long(spark, sf_dir, 20)
+    us = F.col("us")
+    recorded = {"own_start_us": us - 21 * DAY_US, "own_end_us": us, "herd_start_us": us - 3 * DAY_US, "herd_end_us": us + 1_000_000}
+    windows = lo.select("pass_id", *[c.alias(n) for n, c in recorded.items()]).distinct()
+    a = baseline.recomputed_scores(lo, windows, ["k"])
+    u = F.when(~F.col("uncertainty").isin(float("inf")), F.round("uncertainty", 6)).alias("uncertainty")
+    return a.select("pass_id", "state", "observations_available", *r6("risk_score", "own_deviation", "herd_deviation"), u)
+
+
 _SPECS = [(1, 3, "value", 5, 15, "step", 10.0), (2, 3, "value", 10, 20, "ramp", 4.0), (3, 7, "value", 5, 25, "transient", 8.0), (4, 9, "k", 0, 9, "spike", -2.0)]
 
 

@@ -42,6 +42,37 @@ def test_herd_shift_moves_own_but_not_herd_deviation(spark):
     assert d[308].directed_z > 3 and abs(d[311].herd_z) < 3
 
 
+def test_every_pass_is_recomputed_with_herd_and_score(spark):
+    rows = [(a * 100 + d, a, f"s{a % 2}", d * DAY_US + a, f, 1.0 + ((a * a + 3 * d * d + 5 * k * a + d * k) % 11)) for a in range(4) for d in range(30) for k, f in enumerate(("v", "k"))]
+    long = spark.createDataFrame(rows, "pass_id long, animal_id long, site_key string, us long, feature string, value double")
+    us = F.col("us")
+    recorded = long.select("pass_id", (us - 21 * DAY_US).alias("own_start_us"), us.alias("own_end_us"), (us - 3 * DAY_US).alias("herd_start_us"), (us + 1_000_000).alias("herd_end_us")).distinct()
+    names = ["pass_id", "state", "observations_available", "risk_score", "uncertainty", "own_deviation", "herd_deviation"]
+    first = {r.pass_id: r for r in baseline.assess(baseline.deviations(baseline.herd(baseline.own_history(long)), ["k"])).select(*names).collect()}
+    again = {r.pass_id: r for r in baseline.recomputed_scores(long, recorded, ["k"]).select(*names).collect()}
+    assert again.keys() == first.keys() and len(again) == 120
+    scored = [p for p, r in first.items() if r.state == "scored"]
+    assert len(scored) == 100
+    for p in scored:
+        assert tuple(again[p][2:]) == pytest.approx(tuple(first[p][2:]), nan_ok=True)
+    assert all(again[p].state == "insufficient_history" and again[p].herd_deviation is None for p in first.keys() - set(scored))
+    # Windows recorded wrongly on passes that no sample of every fiftieth would take.
+    wrong = recorded.withColumn("own_start_us", F.col("own_start_us") + F.when(F.col("pass_id") == 27, 14 * DAY_US).otherwise(0))
+    wrong = wrong.withColumn("herd_start_us", F.col("herd_start_us") - F.when(F.col("pass_id") == 129, 2 * DAY_US).otherwise(0))
+    other = {r.pass_id: r for r in baseline.recomputed_scores(long, wrong, ["k"]).select(*names).collect()}
+    assert {p for p in first if tuple(other[p]) != tuple(again[p])} == {27, 129}
+
+
+def test_recompute_scores_takes_every_pass(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from gaitframe import plans
+
+    rows = [(i, datetime(2024, 1, 1) + timedelta(hours=i), i % 4, "abc"[i % 3], float(i * 7 % 11), '{"k": %d}' % (i % 5)) for i in range(200)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    assert sorted(r.pass_id for r in plans.QUERIES["recompute_scores"](spark, str(tmp_path)).collect()) == list(range(200))
+
+
 def test_greedy_takes_each_box_once(spark):
     rows = [(1, 0, 0, 0.9), (1, 0, 1, 0.8), (1, 1, 0, 0.85), (1, 1, 1, 0.6)]
     pairs = spark.createDataFrame(rows, "frame int, pi int, ti int, iou double")
