@@ -161,49 +161,69 @@ def _text_chunks(batches, limit: int = LIMIT, column: str = "_text"):
             yield b, first, texts[first:]
 
 
-def _counts(batches):
-    """Rows (lang, n, hash, count) of one task, added up as far as memory is bounded."""
-    held: dict[tuple[str, int], list] = {}
+def _word_counts(batches):
+    """Rows (lang, hash, word, count) of one task, added up as far as memory is bounded; word is one spelling."""
+    held: dict[str, dict[int, list]] = {}
     rows = 0
 
     def flush():
-        for (lang, n), parts in held.items():
-            key, same = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-            count = np.bincount(same, weights=np.concatenate([p[1] for p in parts])).astype(np.int64)
-            yield pa.record_batch(
-                [pa.array([lang] * len(key)), pa.array(np.full(len(key), n, dtype=np.int32)), pa.array(key.view(np.int64)), pa.array(count)],
-                names=["_lang", "_n", "_h", "_c"],
-            )
+        for lang, words in held.items():
+            word, count = zip(*words.values())
+            key = np.fromiter(words, dtype=np.int64, count=len(words))
+            yield pa.record_batch([pa.array([lang] * len(key)), pa.array(key), pa.array(word, pa.string()), pa.array(count, pa.int64())], names=["_lang", "_h", "_w", "_c"])
 
     for b, first, texts in _text_chunks(batches):
         langs = b.column("_lang").to_pylist()[first : first + len(texts)]
         x, start, end, doc = _words(texts)
-        names = np.array(langs)
+        names, whole = np.array(langs), "\n".join(texts)
         for lang in sorted(set(langs)):
             mine = np.flatnonzero(names[doc] == lang)
             if not len(mine):
                 continue
             h, at, count = np.unique(_word_hash(x, start[mine], end[mine]), return_index=True, return_counts=True)
-            held.setdefault((lang, 0), []).append((h, count))
-            letters, bounds = _padded(x, start[mine][at], end[mine][at])
-            for n in GRAMS:
-                if len(letters) >= n:
-                    place, _ = _gram_places(bounds, n)
-                    k, c = np.unique(_gram_hash(letters, n)[place], return_counts=True)
-                    held.setdefault((lang, n), []).append((k, c))
-                    rows += len(k)
-            rows += len(h)
-        if rows > 2_000_000:
+            words = held.setdefault(lang, {})
+            for k, s, e, c in zip(h.view(np.int64).tolist(), start[mine][at].tolist(), end[mine][at].tolist(), count.tolist()):
+                if k in words:
+                    words[k][1] += c
+                else:
+                    words[k] = [whole[s:e], c]
+                    rows += 1
+        if rows > 500_000:
             yield from flush()
             held, rows = {}, 0
     yield from flush()
 
 
+def _gram_counts(batches):
+    """Rows (lang, n, hash, count) of distinct words: 0 for the word, n for its n-grams, each as often as the word occurs."""
+    for b, first, words in _text_chunks(batches, column="_w"):
+        langs = np.array(b.column("_lang").to_pylist()[first : first + len(words)])
+        times = b.column("_c").to_numpy()[first : first + len(words)]
+        x, start, end, row = _words(words)
+        h = _word_hash(x, start, end)
+        for lang in sorted(set(langs.tolist())):
+            mine = np.flatnonzero(langs[row] == lang)
+            letters, bounds = _padded(x, start[mine], end[mine])
+            often = times[row[mine]]
+            out = [(0, h[mine], often)]
+            for n in GRAMS:
+                if len(letters) >= n:
+                    place, word = _gram_places(bounds, n)
+                    key, same = np.unique(_gram_hash(letters, n)[place], return_inverse=True)
+                    out.append((n, key, np.bincount(same, weights=often[word], minlength=len(key)).astype(np.int64)))
+            for n, key, count in out:
+                yield pa.record_batch(
+                    [pa.array([lang] * len(key)), pa.array(np.full(len(key), n, dtype=np.int32)), pa.array(key.view(np.int64)), pa.array(count)],
+                    names=["_lang", "_n", "_h", "_c"],
+                )
+
+
 def fit(labelled: DataFrame, per_lang: int = 1500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit on at most about per_lang rows of each language, those whose hashed id is smallest.
 
     labelled: rows that may be learned from. Rows with null text or lang teach nothing. Words and n-grams
-    seen once in the sample are left out. The bound on rows bounds the model, which goes to every task.
+    seen once in the sample are left out. Words are added up over the whole sample before their n-grams are
+    taken, and an n-gram counts as often as its words occur, so files and partitions do not matter. The bound on rows bounds the model, which goes to every task.
     """
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
@@ -215,7 +235,8 @@ def fit(labelled: DataFrame, per_lang: int = 1500, id_col: str = "doc_id", text_
         share = F.when(F.col(lang_col) == lang, F.lit(min(1.0, per_lang / sizes[lang]))).otherwise(share)
     place = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = rows.filter(place < share).select(F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"))
-    counts = sample.mapInArrow(_counts, "_lang string, _n int, _h long, _c long").groupBy("_lang", "_n", "_h").agg(F.sum("_c").alias("_c"))
+    words = sample.mapInArrow(_word_counts, "_lang string, _h long, _w string, _c long").groupBy("_lang", "_h").agg(F.min("_w").alias("_w"), F.sum("_c").alias("_c"))
+    counts = words.mapInArrow(_gram_counts, "_lang string, _n int, _h long, _c long").groupBy("_lang", "_n", "_h").agg(F.sum("_c").alias("_c"))
     # A row per word or n-gram of the bounded sample; those seen once are dropped before they travel.
     wide = counts.groupBy("_n", "_h").agg(
         *[F.sum(F.when(F.col("_lang") == lang, F.col("_c")).otherwise(0)).alias(f"c{i}") for i, lang in enumerate(langs)], F.sum("_c").alias("_all")

@@ -171,6 +171,21 @@ def test_language_id(spark):
     assert language_id.identify(new, none).first().lang_pred == "und"
 
 
+def test_language_model_ignores_layout(spark):
+    r = random.Random(3)
+    vocab = {g: ["".join(r.choice(c) for _ in range(r.randint(2, 9))) for _ in range(300)] for g, c in (("x", "aeikmnt"), ("y", "bdfgouz"))}
+    rows = [(i, " ".join(r.choice(vocab["xy"[i % 2]]) for _ in range(40)), "xy"[i % 2]) for i in range(80)] + [(80, "Quellwasser quellwasser QUELLWASSER", "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one, many = language_id.fit(d.coalesce(1)), language_id.fit(d.repartition(7))
+    for n in (0, *language_id.GRAMS):
+        assert all((a == b).all() and len(a) for a, b in zip(one.tables[n], many.tables[n]))
+    assert language_id.identify(spark.createDataFrame([(1, "quellwass")], "doc_id long, text string"), one).first().lang_pred == "x"
+    # A word that occurs three times in one chunk leaves its n-grams, which nothing else has.
+    x, start, end, _ = language_id._words(["quellwasser"])
+    letters, at = language_id._padded(x, start, end)
+    assert (one.find(5, language_id._gram_hash(letters, 5)[language_id._gram_places(at, 5)[0]]) >= 0).all()
+
+
 def test_sentencepiece(spark, docs):
     import sentencepiece
 
