@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaitframe.llm import decontaminate, exact_dedup, jaccard_join, language_id, sentencepiece_codec
-from gaitframe.llm.shared import Scratch
+from gaitframe.llm.shared import Scratch, row_key
 
 #: Near duplicates share five-word shingles at a Jaccard similarity of 0.8 or more.
 SHINGLE, SIMILAR = 5, 80
@@ -19,21 +19,27 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the smallest id."""
+    """Of equal texts the document with the smallest id, null ids last; of rows that repeat both, one."""
     return exact_dedup.drop_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id."""
-    groups = jaccard_join.jaccard_components(docs.select("doc_id", "text"), SHINGLE, SIMILAR)
-    gone = groups.filter("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """Of each group of near duplicates the document with the smallest id, null ids last, then the smallest row key.
+
+    Rows are told apart by id and text; exact has left no two with both alike.
+    """
+    rows = docs.withColumn("_row", row_key("doc_id", "text"))
+    place = F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "_row").alias("_place")
+    groups = jaccard_join.jaccard_components(rows.select(place, "text"), SHINGLE, SIMILAR, id_col="_place")
+    gone = groups.filter("_place != component_id").select(F.col("_place._row").alias("_gone")).distinct()
+    return rows.join(gone, F.col("_row") == F.col("_gone"), "left_anti").drop("_row")
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item."""
-    hits = decontaminate.contaminated(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(hits.select(F.col("doc_id").alias("_gone")).distinct(), F.col("doc_id") == F.col("_gone"), "left_anti")
+    """Documents without a benchmark item; rows are told apart by id and text."""
+    rows = docs.withColumn("_row", row_key("doc_id", "text"))
+    hits = decontaminate.contaminated(rows.select("_row", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_row")
+    return rows.join(hits.select(F.col("_row").alias("_gone")).distinct(), F.col("_row") == F.col("_gone"), "left_anti").drop("_row")
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

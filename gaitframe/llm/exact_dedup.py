@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import Scratch, spaced
@@ -84,15 +84,28 @@ def exact_dedup(
 
 
 def _by_key():
-    from pyspark.sql import Window
-
     return Window.partitionBy("_k").orderBy("_b")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows exact_dedup does not keep; of rows that repeat id and text all stay."""
-    out = exact_dedup(docs, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(out, F.col(id_col) == F.col("_gone"), "left_anti")
+    """docs with one row of each group of equal texts: the smallest id, null ids last.
+
+    Rows go by id and text, null-safe, so another row of the same id stays. Of rows that repeat both, the
+    first in the order of text and then of the other columns stays.
+    """
+    scratch = Scratch(docs.sparkSession, "copies")
+    groups = exact_dedup(docs, id_col, text_col).filter("group_size > 1").groupBy(F.col(id_col).alias("_i"), F.col("text_sha256").alias("_s"), F.col("kept").alias("_kept"))
+    groups = scratch.write(groups.agg(F.count("*").alias("_n")), "groups")
+    names = docs.columns
+    rows = docs.withColumn("_sha", F.sha2(spaced(F.col(text_col)).cast("binary"), 256))
+    same = (F.col("_sha") == F.col("_s")) & F.col(id_col).eqNullSafe(F.col("_i"))
+    once = rows.join(groups.filter("NOT _kept OR _n > 1"), same, "left_anti").select(names)
+    repeats = groups.filter("_kept AND _n > 1")
+    if repeats.isEmpty():
+        return once
+    order = Window.partitionBy("_sha").orderBy(text_col, *[c for c in names if c != text_col])
+    first = rows.join(repeats, same, "left_semi").withColumn("_first", F.row_number().over(order)).filter("_first = 1")
+    return once.unionByName(first.select(names))
 
 
 def op1_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -71,3 +71,24 @@ def test_pipeline(spark, tmp_path):
     spark.read.parquet(str(tmp_path / "documents.parquet")).limit(0).write.parquet(str(empty / "documents.parquet"))
     spark.read.parquet(str(tmp_path / "benchmark.parquet")).write.parquet(str(empty / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(empty)).count() == 0
+
+
+def test_stages_tell_rows_of_one_id_and_null_ids_apart(spark, tmp_path):
+    r = random.Random(5)
+    text = lambda n: " ".join("".join(r.choice("aeioukst") for _ in range(r.randint(3, 7))) for _ in range(n))
+    a, b, c, d, e = (text(60) for _ in range(5))
+    item = (text(14) + "?", text(8) + ".")
+    leak = text(20) + " " + " ".join(item) + " " + text(20)
+    near_b = b.replace(b.split()[4], "xx")
+    schema = "doc_id long, text string, source string"
+    stage = lambda f, rows: sorted((x.doc_id, x.text) for x in f(spark, spark.createDataFrame(rows, schema).repartition(3), str(tmp_path)).collect())
+    key = lambda rows: sorted(rows, key=repr)
+    got = corpus_pipeline.exact(spark, spark.createDataFrame([(1, a, "s"), (2, a, "s"), (2, c, "s"), (3, d, "s"), (3, d, "s"), (4, a.replace(" ", "  "), "s"), (None, a, "s"), (None, e, "s"), (None, e, "s")], schema).repartition(3), "")
+    assert key((x.doc_id, x.text) for x in got.collect()) == key([(1, a), (2, c), (3, d), (None, e)])
+    assert got.columns == ["doc_id", "text", "source"]
+    got = corpus_pipeline.near(spark, spark.createDataFrame([(1, b, "s"), (2, near_b, "s"), (2, c, "s"), (None, b + " yy", "s"), (None, d, "s"), (None, e, "s"), (None, e + " zz", "s")], schema), "")
+    got = [(x.doc_id, x.text) for x in got.collect()]
+    assert key(x for x in got if x[1] not in (e, e + " zz")) == key([(1, b), (2, c), (None, d)]) and len(got) == 4
+    spark.createDataFrame([(1, " ".join(item))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert stage(corpus_pipeline.clean, [(1, leak, "s"), (1, c, "s"), (2, d, "s")]) == [(1, c), (2, d)]
+    assert stage(corpus_pipeline.clean, [(None, leak, "s"), (3, d, "s")]) == [(3, d)]
