@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import chunks, joined, window_hash, words_of
+from .shared import Scratch, chunks, joined, window_hash, words_of
 
 THETA, OVERLAP, SHINGLE = 0.5, 0.8, 5
 K1, B = 1.2, 0.75
@@ -56,9 +56,12 @@ class Bm25Index:
     A passage scores an item by the weights of the item's terms it holds, so 1 means all of them. A block
     of items is opened only if the sum of its largest weights can reach theta: terms found in many blocks
     add one constant per block (the most they can give any of its items), others their own maximum.
+
+    whole holds the number of all items, their mean and greatest number of words, and terms (sorted) with
+    their document frequencies, where items are only a part of them.
     """
 
-    def __init__(self, items: list[tuple[int, bytes]], theta: float = THETA, block: int = 16):
+    def __init__(self, items: list[tuple[int, bytes]], theta: float = THETA, block: int = 16, whole: tuple | None = None):
         items = [(i, t) for i, t in items if t and len(hashed([t])[0])]
         self.theta, self.ids, self.block = theta, [i for i, _ in items], block
         n = len(items)
@@ -69,12 +72,15 @@ class Bm25Index:
         self.terms = np.unique(np.concatenate(words)) if n else np.zeros(0, dtype=np.uint64)
         rows = []
         mean = np.mean([len(w) for w in words]) if n else 1.0
+        if whole:
+            mean, self.longest = whole[1], whole[2]
         for i, w in enumerate(words):
             t, tf = np.unique(w, return_counts=True)
             rows.append((np.searchsorted(self.terms, t), np.full(len(t), i), tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(w) / mean))))
         term, item, weight = (np.concatenate(x) for x in zip(*rows)) if n else (np.zeros(0, np.int64),) * 3
         df = np.bincount(term, minlength=len(self.terms))
-        weight = weight * np.log1p((n - df + 0.5) / (df + 0.5))[term]
+        count, often = (whole[0], whole[4][np.searchsorted(whole[3], self.terms)]) if whole else (n, df)
+        weight = weight * np.log1p((count - often + 0.5) / (often + 0.5))[term]
         weight = weight / np.bincount(item, weights=weight, minlength=n)[item]
         order = np.lexsort((item, term))
         self.item, self.weight = item[order], weight[order]
@@ -163,7 +169,7 @@ def contaminated(
     compared in lower case without ASCII punctuation.
 
     Items are gathered for the index at most index_bytes at a time; a larger benchmark takes several
-    passes over docs. Null or empty texts and items without words match nothing. Of items that repeat an
+    passes over docs, which share the term statistics and the longest item of all items. Null or empty texts and items without words match nothing. Of items that repeat an
     id each text counts; rows of docs that repeat an id are all answered; null ids are passed on. Empty
     tables give an empty result.
     """
@@ -174,16 +180,40 @@ def contaminated(
     passes = max(1, -(-int(size) // index_bytes))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_t"))
     out = None
+    if passes > 1:
+        items = items.withColumn("_p", F.pmod(F.xxhash64("_b"), F.lit(passes)).cast("int"))
+        terms = Scratch(spark, "items").write(items.mapInArrow(_terms, "_p int, _h long, _n long"), "terms")
+        total = terms.filter("_h IS NULL").agg(F.count("_n"), F.avg("_n"), F.max("_n")).first()
+        df = terms.filter("_h IS NOT NULL").groupBy("_h").agg(F.count("*").alias("_df"), F.collect_set("_p").alias("_ps"))
+        df = Scratch(spark, "items").write(df, "df")
     for p in range(passes):
-        mine = items if passes == 1 else items.filter(F.pmod(F.xxhash64("_b"), F.lit(passes)) == p)
+        mine = items if passes == 1 else items.filter(F.col("_p") == p)
         got = mine.orderBy("_i", "_b").collect()
-        index = Bm25Index([(k, bytes(r["_b"])) for k, r in enumerate(got)], theta)
+        whole = None
+        if passes > 1:  # no more terms than the pass's items have
+            own = df.filter(F.array_contains("_ps", p)).select("_h", "_df").toArrow()
+            h = own.column("_h").to_numpy().view(np.uint64)
+            whole = (total[0], total[1] or 1.0, total[2] or 1, h[np.argsort(h)], own.column("_df").to_numpy()[np.argsort(h)])
+        index = Bm25Index([(k, bytes(r["_b"])) for k, r in enumerate(got)], theta, whole=whole)
         sent = spark.sparkContext.broadcast((index, [got[k]["_i"] for k in index.ids]))
         part = rows.mapInArrow(_search(sent), f"_id {kind}, _i {item_kind}, score double, question_overlap double, answer_overlap double")
         out = part if out is None else out.union(part)
     return out.withColumnsRenamed({"_id": id_col, "_i": item_col})
 
 
+def _terms(batches):
+    """Rows (pass, term, null) of each item's distinct terms, and (pass, null, words) of each item with words."""
+    for b, first, texts in chunks(batches, "_b"):
+        h, at = hashed(texts)
+        for k, p in enumerate(b.column("_p").slice(first, len(texts)).to_pylist()):
+            words = h[at[k] : at[k + 1]]
+            if len(words):
+                t = np.unique(words).view(np.int64)
+                yield pa.record_batch(
+                    [pa.array([p] * (len(t) + 1), pa.int32()), pa.array([*t.tolist(), None], pa.int64()), pa.array([*[None] * len(t), len(words)], pa.int64())], names=["_p", "_h", "_n"]
+                )
+
+
 def _search(sent):
     def run(batches):
         index, names = sent.value

@@ -147,6 +147,20 @@ def test_decontaminate(spark, docs):
     assert decontaminate.contaminated(more, items.limit(0)).count() == 0
 
 
+def test_decontaminate_in_passes_scores_like_one_index(spark):
+    r = random.Random(9)
+    vocab = [f"w{i}" for i in range(60)]
+    items = [(k, " ".join(r.choice(vocab[: 20 + 3 * k]) for _ in range(20 + 4 * k)) + "? " + " ".join(r.choice(vocab) for _ in range(30)) + ".") for k in range(12)]
+    rows = []
+    for k, t in items:
+        w = t.split()
+        w[-15] = "changed"
+        rows.append((k, " ".join(r.choice(vocab) for _ in range(50 + 7 * k)) + " " + " ".join(w) + " " + " ".join(r.choice(vocab) for _ in range(40))))
+    d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([*items, (99, None), (98, "?!")], "item_id long, text string")
+    one, many = ({(x.doc_id, x.item_id): x.score for x in decontaminate.contaminated(d, b, index_bytes=n).collect()} for n in (1 << 20, 700))
+    assert len(one) >= 12 and min(one.values()) < 1 and many == pytest.approx(one)
+
+
 def test_line_dedup(spark):
     rows = [(i, f"menu\n own {i}\n\nfooter {i % 2} \n", f"s{i}", 1) for i in range(12)] + [(None, None, None, None), (20, "", "s1", 1), (21, "menu", None, 1)]
     d = spark.createDataFrame(rows, "doc_id long, text string, source string, _gone long")
