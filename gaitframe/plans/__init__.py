@@ -186,6 +186,18 @@ def lead_time(spark, sf_dir):
     return events.lead_time(events.build(_assessed(spark, sf_dir), "digest"), ref).select("animals", *r6("median_lead_days"))
 
 
+# lead_time and its SQL take reference times of even animals only; this one takes every animal's.
+@query(
+    "lead_time_all",
+    _EVENTS
+    + f""", f AS (SELECT animal_id, min(us) AS f FROM ev WHERE level = 'alert' GROUP BY 1), ref AS (SELECT animal_id, max(us) AS u FROM obs GROUP BY 1)
+SELECT count(*) AS animals, round(median((u - f)::DOUBLE / {DAY_US}), 6) AS median_lead_days FROM ref JOIN f USING (animal_id)""",
+)
+def lead_time_all(spark, sf_dir):
+    ref = views.obs(spark, sf_dir).groupBy("animal_id").agg(F.max("us").alias("reference_us"))
+    return events.lead_time(events.build(_assessed(spark, sf_dir), "digest"), ref).select("animals", *r6("median_lead_days"))
+
+
 # --- series and stages -----------------------------------------------------------------------------
 
 

@@ -73,6 +73,17 @@ def test_recompute_scores_takes_every_pass(spark, tmp_path):
     assert sorted(r.pass_id for r in plans.QUERIES["recompute_scores"](spark, str(tmp_path)).collect()) == list(range(200))
 
 
+def test_lead_time_all_counts_odd_animals(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from gaitframe import plans
+
+    rows = [(a * 100 + d, datetime(2024, 1, 1 + d) + timedelta(minutes=a), a, "s", 1000.0 if d == 8 else float(d % 3), '{"k": 1}') for a in (1, 2, 3) for d in range(12)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    got = plans.QUERIES["lead_time_all"](spark, str(tmp_path)).first()
+    assert (got.animals, got.median_lead_days) == (3, 3.0)
+
+
 def test_greedy_takes_each_box_once(spark):
     rows = [(1, 0, 0, 0.9), (1, 0, 1, 0.8), (1, 1, 0, 0.85), (1, 1, 1, 0.6)]
     pairs = spark.createDataFrame(rows, "frame int, pi int, ti int, iou double")
