@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import U64, constants, mix
+from .shared import U64, arrow, constants, mix
 
 GRAMS = (5, 4, 3, 2, 1)
 LIMIT = 1 << 18
@@ -46,15 +46,19 @@ def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 
 def _word_hash(x: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Order-sensitive hash of whole words, by folding position classes."""
-    n = int((end - start).max(initial=0))
-    h = np.zeros(len(start), dtype=np.uint64)
-    left = np.arange(len(start))
-    for i in range(n):
-        left = left[end[left] - start[left] > i]
-        h[left] = (h[left] ^ x[start[left] + i]) * U64(0x9E3779B97F4A7C15)
-        h[left] ^= h[left] >> U64(31)
-    return mix(h + U64(1))
+    """Order-sensitive hash of whole words: letters times powers of an odd number, added up by word.
+
+    The work grows with the letters, so a word of any length costs no more than as many short ones.
+    """
+    size = end - start
+    if not len(size):
+        return x[:0]
+    at = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(at, size)
+    power = np.full(int(size.max()), 0x2545F4914F6CDD1D, dtype=np.uint64)
+    power[0] = 1
+    h = np.add.reduceat(x[np.repeat(start, size) + place] * np.cumprod(power)[place], at)
+    return mix(h + size.astype(np.uint64) * U64(0x9E3779B97F4A7C15))
 
 
 def _gram_hash(x: np.ndarray, n: int) -> np.ndarray:
@@ -235,8 +239,8 @@ def fit(labelled: DataFrame, per_lang: int = 1500, id_col: str = "doc_id", text_
         share = F.when(F.col(lang_col) == lang, F.lit(min(1.0, per_lang / sizes[lang]))).otherwise(share)
     place = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = rows.filter(place < share).select(F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"))
-    words = sample.mapInArrow(_word_counts, "_lang string, _h long, _w string, _c long").groupBy("_lang", "_h").agg(F.min("_w").alias("_w"), F.sum("_c").alias("_c"))
-    counts = words.mapInArrow(_gram_counts, "_lang string, _n int, _h long, _c long").groupBy("_lang", "_n", "_h").agg(F.sum("_c").alias("_c"))
+    words = arrow(sample, _word_counts, "_lang string, _h long, _w string, _c long").groupBy("_lang", "_h").agg(F.min("_w").alias("_w"), F.sum("_c").alias("_c"))
+    counts = arrow(words, _gram_counts, "_lang string, _n int, _h long, _c long").groupBy("_lang", "_n", "_h").agg(F.sum("_c").alias("_c"))
     # A row per word or n-gram of the bounded sample; those seen once are dropped before they travel.
     wide = counts.groupBy("_n", "_h").agg(
         *[F.sum(F.when(F.col("_lang") == lang, F.col("_c")).otherwise(0)).alias(f"c{i}") for i, lang in enumerate(langs)], F.sum("_c").alias("_all")
@@ -263,11 +267,15 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    return rows.mapInArrow(run, f"_id {kind}, lang_pred string, score double").withColumnRenamed("_id", id_col)
+    return arrow(rows, run, f"_id {kind}, lang_pred string, score double").withColumnRenamed("_id", id_col)
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """docs, all columns, without the rows whose language is `und` or less likely than `least`; no shuffle."""
+    """docs, all columns, without the rows whose language is `und` or less likely than `least`; no shuffle.
+
+    Rows without text or without a letter go; each row stands alone, so repeated rows and null ids stay or go
+    by their text, whatever its length. Of equally likely languages the first by name is asked.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
 
@@ -277,7 +285,7 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.5, text_col:
             keep = pa.array([g != "und" and s >= least for g, s in zip(lang, score)], pa.bool_())
             yield pa.RecordBatch.from_arrays(b.slice(first, len(texts)).columns, names=names).filter(keep)
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow(docs, run, docs.schema)
 
 
 def held_out(id_col: str = "doc_id"):
@@ -285,6 +293,7 @@ def held_out(id_col: str = "doc_id"):
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred and score of all documents; the model learns from rows that are not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = identify(docs, fit(docs.filter(~held_out())))
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -13,15 +13,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import Scratch, chunks
+from .shared import Scratch, arrow, chunks, unpersist
 
+#: The model where neither an argument nor the setting spark.gaitframe.sentencepiece.model names one.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: U+2581 stands for a space inside pieces.
 GAP = "▁"
 #: Words encoded once by the lattice and sent to every task; the rest are folded where they stand.
 FREQUENT = 1 << 16
 #: Bytes of text whose words are looked up at once.
-SLICE = 1 << 21
+SLICE = 1 << 20
 #: Piece ids decoded at once.
 IDS = 1 << 20
 
@@ -51,9 +52,11 @@ class PieceTable:
         return rf"{GAP}+[^{GAP}]*|[^{GAP}]+" if any("\n" in p and len(p) > 1 for p in self.ids) else rf"\n|{GAP}+[^{GAP}\n]*|[^{GAP}\n]+"
 
 
-def load(path: str = MODEL, kind: str = "bpe") -> PieceTable:
+def load(path: str | None = None, kind: str = "bpe") -> PieceTable:
     import sentencepiece
 
+    session = SparkSession.getActiveSession()
+    path = path or (session.conf.get("spark.gaitframe.sentencepiece.model", MODEL) if session else MODEL)
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     texts = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
     special = {i for i in range(len(texts)) if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)}
@@ -290,31 +293,66 @@ class Merges:
         yield rows, grid
 
 
+class Ragged:
+    """Lists of ids that grow by appending; arrays double, so what is there is not copied each time."""
+
+    def __init__(self, lists: pa.ListArray):
+        self.values, self.start, self.size = np.zeros(1024, np.int32), np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.used = self.count = 0
+        self.add(lists)
+
+    @staticmethod
+    def _room(x: np.ndarray, n: int) -> np.ndarray:
+        if n <= len(x):
+            return x
+        out = np.zeros(max(n, 2 * len(x)), x.dtype)
+        out[: len(x)] = x
+        return out
+
+    def add(self, lists: pa.ListArray) -> None:
+        ends, flat = lists.offsets.to_numpy().astype(np.int64), lists.flatten().to_numpy()
+        n, m = len(lists), len(flat)
+        self.values = self._room(self.values, self.used + m)
+        self.start, self.size = self._room(self.start, self.count + n), self._room(self.size, self.count + n)
+        self.values[self.used : self.used + m] = flat
+        self.start[self.count : self.count + n] = ends[:-1] - ends[0] + self.used
+        self.size[self.count : self.count + n] = np.diff(ends)
+        self.used, self.count = self.used + m, self.count + n
+
+    def cut(self, count: int, used: int) -> None:
+        self.count, self.used = count, used
+
+    def take(self, at: np.ndarray) -> pa.ListArray:
+        size = self.size[at]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        place = np.arange(ends[-1]) - np.repeat(ends[:-1] - self.start[at], size)
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(self.values[place]))
+
+
 class Encoder:
     """ids of any words (bytes, gaps as spaces): the given ones are known, the others are folded in place and kept for a while."""
 
-    HELD = 150_000
+    HELD = 100_000
 
     def __init__(self, table: PieceTable, known: list[bytes], ids: pa.ListArray):
         self.table, self.merges = table, Merges(table) if table.kind == "bpe" else None
-        self.known, self.known_ids = {w: k for k, w in enumerate(known)}, ids
-        self.held, self.ids = dict(self.known), ids
+        self.known, self.ids = {w: k for k, w in enumerate(known)}, Ragged(ids)
+        self.base, self.held = (self.ids.count, self.ids.used), dict(self.known)
 
     def __call__(self, words: list[bytes]) -> pa.ListArray:
         if len(self.held) > len(self.known) + self.HELD:
-            self.held, self.ids = dict(self.known), self.known_ids
+            self.held = dict(self.known)
+            self.ids.cut(*self.base)
         new = [w for w in words if w not in self.held]
         texts = [w.decode("utf-8", "replace").replace(" ", GAP) for w in new]
         short = [k for k, t in enumerate(texts) if len(t) <= 64 and self.merges]
         rest = [k for k, t in enumerate(texts) if not (len(t) <= 64 and self.merges)]
-        folded = pa.array([fold_word(texts[k], self.table) for k in rest], pa.list_(pa.int32()))
-        parts = [self.ids, folded] + ([self.merges.fold([texts[k] for k in short])] if self.merges else [])
-        at = len(self.ids)
-        for k in [*rest, *short]:
-            self.held[new[k]] = at
-            at += 1
-        self.ids = pa.concat_arrays([plain(x) for x in parts])
-        out = self.ids.take(pa.array([self.held[w] for w in words], pa.int32()))
+        for place, k in enumerate([*rest, *short], self.ids.count):
+            self.held[new[k]] = place
+        self.ids.add(pa.array([fold_word(texts[k], self.table) for k in rest], pa.list_(pa.int32())))
+        if self.merges:
+            self.ids.add(plain(self.merges.fold([texts[k] for k in short])))
+        out = self.ids.take(np.array([self.held[w] for w in words], dtype=np.int64))
         for k in rest:  # words without bound on their length are not kept
             if len(new[k]) > 256:
                 del self.held[new[k]]
@@ -355,7 +393,11 @@ def segments(texts: list[bytes | None], table: PieceTable) -> tuple[pa.Array, np
 
 
 def frequent_words(docs: DataFrame, table: PieceTable, text_col: str, keep: int, scratch: Scratch) -> DataFrame:
-    """At most keep words (_w): those of the counts at which, from the top, they still fit."""
+    """At most keep words (_w): those of the counts at which, from the top, they still fit.
+
+    Words seen once or longer than 64 characters are left to the fold in place; so is the rest. Null and empty
+    texts have no words, repeated rows count again.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches):
@@ -364,10 +406,11 @@ def frequent_words(docs: DataFrame, table: PieceTable, text_col: str, keep: int,
             n = np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))
             yield pa.RecordBatch.from_arrays([words.dictionary, pa.array(n, pa.int64())], names=["_w", "n"])
 
-    words = docs.select(F.col(text_col).cast("binary").alias("_t")).mapInArrow(run, "_w binary, n long")
+    words = arrow(docs.select(F.col(text_col).cast("binary").alias("_t")), run, "_w binary, n long")
     words = words.groupBy("_w").agg(F.sum("n").alias("count")).filter("count > 1")
     words = words.select(F.replace(F.col("_w").cast("string"), F.lit(" "), F.lit(GAP)).alias("_w"), "count")
     counts = scratch.write(words.filter("length(_w) <= 64"), "words")
+    unpersist(sent)
     level = F.floor(F.log2("count") * 8).cast("int")
     left, floor_ = keep, None
     for r in sorted(counts.groupBy(level.alias("_l")).count().collect(), key=lambda r: -r["_l"]):  # at most 8 * 63 rows
@@ -417,7 +460,7 @@ def encode(docs: DataFrame, table: PieceTable, text_col: str = "text", ids_col:
                     out[c] = pc.equal(texts_of(ids, pieces), pc.fill_null(part.column(text_col), ""))
                 yield pa.RecordBatch.from_pydict(out)
 
-    return base.mapInArrow(run, schema)
+    return arrow(base, run, schema)
 
 
 def piece_bytes(table: PieceTable) -> pa.BinaryArray:
@@ -462,14 +505,19 @@ def decode(rows: DataFrame, table: PieceTable, ids_col: str = "ids", text_col: s
                 yield pa.RecordBatch.from_arrays([*part.columns, texts_of(part.column(ids_col), pieces)], names=[*part.schema.names, text_col])
                 i += n
 
-    return base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField(text_col, T.StringType())]))
+    return arrow(base, run, T.StructType([*base.schema.fields, T.StructField(text_col, T.StringType())]))
 
 
 def digest(docs: DataFrame, table: PieceTable, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_pieces, ids_hash and round_trip (whether decoding gives the text again) of every row."""
+    """id, n_pieces, ids_hash and round_trip (whether decoding gives the text again) of every row.
+
+    Null and empty texts have 0 pieces; rows that repeat an id are all answered, null ids are passed on; other
+    columns are ignored whatever their names; an empty table gives an empty result.
+    """
     rows = encode(docs.select(id_col, text_col), table, text_col, check_col="round_trip", drop_text=True)
     return rows.select(id_col, F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "round_trip")
 
 
-def op4_sentencepiece(spark: SparkSession, sf_dir: str, model: str = MODEL) -> DataFrame:
+def op4_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    """digest of all documents."""
     return digest(spark.read.parquet(f"{sf_dir}/documents.parquet"), load(model))

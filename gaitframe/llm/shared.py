@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,17 +18,63 @@ SPACE_REGEX = r"[\x20\x09-\x0D]+"
 U64 = np.uint64
 
 
+#: Bytes of one Arrow batch between Spark and a kernel.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one where the cluster names none (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, else the checkpoint folder that was set.
+
+    A local master without either (tests) gets a temporary folder; a cluster is refused, since its executors
+    would not see one.
+    """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if named:
         return named
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="gaitframe-"))
     return sc.getCheckpointDir()
 
 
+def arrow(df: DataFrame, kernel: Callable, schema) -> DataFrame:
+    """df.mapInArrow(kernel, schema) with batches bounded in bytes and memory given back when a task ends.
+
+    Batches are bounded in rows only by default, so long texts would fill the executor's memory beside its
+    heap. The bound is a setting of the session, lowered here where it is larger.
+    """
+    spark = df.sparkSession
+    if int(spark.conf.get(_BATCH).rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+    def run(batches):
+        try:
+            yield from kernel(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on between tasks and would keep its peak."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # no glibc
+        pass
+
+
+def unpersist(*sent) -> None:
+    """Drop the executors' copies of broadcasts whose results are written; a later use would fetch them again."""
+    for b in sent:
+        b.unpersist()
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage and survive a lost executor."""
 
@@ -47,9 +97,16 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def row_keys(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """Two independent 64-bit halves of a row's key by id and text: null and repeated ids stay apart, identical rows share it."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return F.xxhash64(F.col(id_col), text), F.xxhash64(F.lit(1), text, F.col(id_col))
+
+
 def row_key(id_col: str, text_col: str) -> Column:
-    """64-bit key of a row's id and text: null ids and repeated ids stay apart, identical rows share it."""
-    return F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
+    """Both halves of a row's key as one column."""
+    a, b = row_keys(id_col, text_col)
+    return F.struct(a.alias("a"), b.alias("b"))
 
 
 def spaced(text: Column) -> Column:
@@ -114,21 +171,26 @@ def byte_table(name: str) -> np.ndarray:
     return _TABLES[name]
 
 
+BLOCK = 1 << 20
 _POWERS: dict[str, np.ndarray] = {}
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        size = 1 << max(20, int(n - 1).bit_length())
-        base = 0x2545F4914F6CDD1D
-        for name, b in (("up", base), ("down", pow(base, -1, 2**64))):
+    """Powers of an odd base and of its inverse; those of a block are kept, longer ones are made anew."""
+
+    def made(size: int) -> list[np.ndarray]:
+        base, out = 0x2545F4914F6CDD1D, []
+        for b in (base, pow(base, -1, 2**64)):
             p = np.full(size, b, dtype=np.uint64)
             p[0] = 1
-            _POWERS[name] = np.cumprod(p)
-    return _POWERS["up"], _POWERS["down"]
-
+            out.append(np.cumprod(p))
+        return out
 
-BLOCK = 1 << 20
+    if n > BLOCK:
+        return tuple(made(n))  # type: ignore[return-value]
+    if not _POWERS:
+        _POWERS["up"], _POWERS["down"] = made(BLOCK)
+    return _POWERS["up"], _POWERS["down"]
 
 
 def _word_block(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,11 +205,11 @@ def _word_block(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def words_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, first byte and end of every word of a buffer whose white space is byte 32; works in blocks."""
-    if len(data) <= 2 * BLOCK:
+    if len(data) <= BLOCK:
         return _word_block(data)
     parts, at = [], 0
     while at < len(data):
-        end = min(len(data), at + BLOCK)
+        end = min(len(data), at + BLOCK // 2)
         while end < len(data):  # cut where a word ends; a word longer than a block stays whole
             gap = np.flatnonzero(data[end : end + BLOCK] == 32)
             if len(gap):

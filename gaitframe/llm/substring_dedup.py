@@ -3,67 +3,133 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .repeats import CROWD, anchors, apply_ranges, keyed, ranges, resolve, run_stats, word_tokens
-from .shared import Scratch
+from .repeats import CROWD, apply_ranges, keyed, one_place, ranges, resolve, summed, word_tokens
+from .shared import Scratch, shared_dir
 
-WINDOW, ANCHOR = 35, 12
+WINDOW, ANCHOR, BATCHES, FANOUT = 35, 12, 2, 4
 
 
 class FingerprintLog:
-    """Sorted immutable runs of the fingerprints of all documents seen so far.
+    """An index of the word windows of all documents appended so far, kept in a folder that may be opened again.
 
-    `append` writes a batch as a run sorted by fingerprint and merge-joins it with the older runs; it
-    returns the fingerprints of the batch that were there before or occur in it twice. After `fanout`
-    runs `compact` merges them into one. A run has one row per distinct fingerprint, so copies add
-    nothing to it; a window of words has exactly one fingerprint (see repeats).
+    A run holds one row per distinct segment (neighbouring windows of one anchor, see repeats): _h fingerprint,
+    _s segment hash, _n occurrences, one place (_r, _q row key, _a words). Runs are immutable, dealt into
+    buckets by fingerprint and sorted in them, so a new batch's run is merge-joined with every older run
+    without shuffling either. The manifest, a small table written anew after each change, names the runs; the
+    newest complete one counts. More than `fanout` runs are compacted into one.
+
+    `append` takes a batch and returns the removals it causes, in the batch and in earlier documents. Of the
+    earlier documents only those are read again that hold a segment whose fingerprint the batch hits.
+    Segments are told apart by both hashes, 128 bits; what is removed was compared by content.
     """
 
-    def __init__(self, scratch: Scratch, window: int = WINDOW, anchor: int = ANCHOR, fanout: int = 4):
-        self.scratch, self.window, self.anchor, self.fanout = scratch, window, anchor, fanout
-        self.runs: list[DataFrame] = []
-
-    def append(self, docs: DataFrame) -> DataFrame:
-        new = run_stats(anchors(docs, word_tokens, self.window, self.anchor)).repartition("_h").sortWithinPartitions("_h")
-        new = self.scratch.write(new, "run")
-        old = self.history()
-        self.runs.append(new)
-        if old is None:
-            out = new.filter("_n > 1")
-        else:
-            out = _combined(new.alias("a"), old.alias("b"), "left").filter("_n > 1")
-        out = self.scratch.write(out, "matches")
+    COLUMNS = "_h BIGINT, _s BIGINT, _n BIGINT, _r BIGINT, _q BIGINT, _a BIGINT"
+
+    def __init__(self, spark: SparkSession, root: str | None = None, window: int = WINDOW, anchor: int = ANCHOR, fanout: int = FANOUT, crowd: int = CROWD, bits: int = 64):
+        self.spark, self.window, self.anchor, self.fanout, self.crowd, self.bits = spark, window, anchor, fanout, crowd, bits
+        self.root = root or f"{shared_dir(spark).rstrip('/')}/gaitframe-index-{uuid.uuid4().hex}"
+        self.scratch = Scratch(spark, "substring")
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.runs: list[str] = []
+        self.version = 0
+        self._tables: dict[str, str] = {}
+        self._open()
+
+    def _open(self) -> None:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifest")
+        fs = path.getFileSystem(conf)
+        if not fs.exists(path):
+            return
+        names = sorted(str(s.getPath().getName()) for s in fs.listStatus(path))
+        names = [n for n in names if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifest/{n}/_SUCCESS"))]
+        if not names:
+            return
+        rows = self.spark.read.parquet(f"{self.root}/manifest/{names[-1]}").orderBy("position").collect()  # a row a run
+        for r in rows:
+            if (r["window"], r["anchor"]) != (self.window, self.anchor):
+                raise ValueError(f"the index holds windows of {r['window']} words with anchors of {r['anchor']}")
+            self.buckets = r["buckets"]
+        self.runs, self.version = [r["run"] for r in rows if r["run"]], int(names[-1])
+
+    def _commit(self) -> None:
+        self.version += 1
+        rows = [(i, r, self.buckets, self.window, self.anchor) for i, r in enumerate(self.runs)]
+        rows = self.spark.createDataFrame(rows, "position int, run string, buckets int, window int, anchor int")
+        rows.coalesce(1).write.parquet(f"{self.root}/manifest/{self.version:08d}")
+
+    def _table(self, run: str) -> DataFrame:
+        """A run as a bucketed table; the catalogue only knows it while the index is open."""
+        if run not in self._tables:
+            name = f"gaitframe_run_{uuid.uuid4().hex}"
+            place = f"{self.root}/{run}"
+            self.spark.sql(
+                f"CREATE TABLE {name} ({self.COLUMNS}) USING parquet OPTIONS (compression 'zstd') CLUSTERED BY (_h) SORTED BY (_h, _s) INTO {self.buckets} BUCKETS LOCATION '{place}'"
+            )
+            self._tables[run] = name
+        return self.spark.table(self._tables[run])
+
+    def _write(self, rows: DataFrame) -> str:
+        """Write rows, one per segment and task or run, as a run of one row per segment."""
+        run, name = f"run-{uuid.uuid4().hex}", f"gaitframe_run_{uuid.uuid4().hex}"
+        rows = rows.repartition(self.buckets, "_h").groupBy("_h", "_s").agg(F.sum("_n").alias("_n"), *one_place())
+        out = rows.write.format("parquet").option("compression", "zstd").option("path", f"{self.root}/{run}")
+        out.bucketBy(self.buckets, "_h").sortBy("_h", "_s").saveAsTable(name)
+        self._tables[run] = name
+        return run
+
+    def close(self) -> None:
+        """Forget the tables' names; the index stays where it is."""
+        for name in self._tables.values():
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self._tables = {}
+
+    def append(self, docs: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
+        """Add documents (_r, _q, _t); the removals (_r, _q, _x) they cause, here and in earlier documents.
+
+        corpus holds the texts of all documents up to and including the batch; without earlier runs it is not read.
+        """
+        run = self._write(summed(docs, word_tokens, self.window, self.anchor, self.bits))
+        new, old = self._table(run), [self._table(r) for r in self.runs]
+        hits = new.groupBy("_h").agg(F.sum("_n").alias("_n")).filter("_n > 1").select("_h")
+        for t in old:
+            hits = hits.union(new.select("_h").join(t.select("_h").hint("merge"), "_h", "left_semi"))
+        hits = self.scratch.write(hits.distinct() if old else hits, "hits")
+        past = None
+        for t in old:
+            part = t.join(hits, "_h", "left_semi")
+            past = part if past is None else past.unionByName(part)
+        if past is not None and len(old) > 1:
+            past = past.groupBy("_h", "_s").agg(F.sum("_n").alias("_n"), *one_place())
+        spans = resolve(docs, hits, word_tokens, cut_words, equal_windows, self.window, self.anchor, self.scratch, self.crowd, past, corpus, self.bits)
+        spans = self.scratch.write(spans, "removals")
+        self.runs.append(run)
+        self._commit()
         if len(self.runs) > self.fanout:
             self.compact()
-        return out
-
-    def history(self) -> DataFrame | None:
-        """All older runs as one: runs are merge-joined pair by pair."""
-        whole = None
-        for run in self.runs:
-            whole = run if whole is None else _combined(whole.alias("a"), run.alias("b"), "full")
-        return whole
+        return spans
 
     def compact(self) -> None:
-        old, whole = self.runs, self.history()
+        """Merge all runs into one; the old ones go once the manifest names the new one."""
+        old = self.runs
         if len(old) < 2:
             return
-        self.runs = [self.scratch.write(whole.repartition("_h").sortWithinPartitions("_h"), "compacted")]
-        for run in old:
-            self.scratch.drop(run)
-
-
-def _combined(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
-    low = lambda c: F.least(F.col(f"a.{c}"), F.col(f"b.{c}")).alias(c)  # noqa: E731  null counts for nothing
-    high = lambda c: F.greatest(F.col(f"a.{c}"), F.col(f"b.{c}")).alias(c)
-    count = F.coalesce("a._n", F.lit(0)) + F.coalesce("b._n", F.lit(0))
-    return a.join(b.hint("merge"), F.col("a._h") == F.col("b._h"), how).select(
-        F.coalesce("a._h", "b._h").alias("_h"), count.alias("_n"), low("_s0"), high("_s1"), low("_r0"), high("_r1")
-    )
+        whole = None
+        for r in old:
+            whole = self._table(r) if whole is None else whole.unionByName(self._table(r))
+        self.runs = [self._write(whole)]
+        self._commit()
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for r in old:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._tables.pop(r)}")
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{r}")
+            path.getFileSystem(conf).delete(path, True)
 
 
 def cut_words(text: bytes, first: np.ndarray, end: np.ndarray) -> list[bytes]:
@@ -94,37 +160,42 @@ def equal_windows(pieces: list[bytes], count: np.ndarray, n: int) -> tuple[np.nd
     return ranges(seg[again], start[again], n)
 
 
-def repeated_words(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, batches: int = 2, crowd: int = CROWD) -> DataFrame:
-    """Ranges of words covered by repeated windows, for rows (_r, _id, _t); batches go through the index one by one."""
-    scratch = Scratch(docs.sparkSession, "substring")
-    log, found = FingerprintLog(scratch, window, anchor, fanout=2), []
+def repeated_words(
+    docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, batches: int = BATCHES, fanout: int = FANOUT, crowd: int = CROWD, index: str | None = None, bits: int = 64
+) -> DataFrame:
+    """Ranges of words covered by repeated windows, for rows (_r, _q, _t); batches go through the index one by one.
+
+    Rows are dealt to batches by their key, which stands for the order in which a corpus grows.
+    """
+    log, found = FingerprintLog(docs.sparkSession, index, window, anchor, fanout, crowd, bits), None
     for i in range(batches):
-        found.append(log.append(docs.filter(F.pmod("_r", F.lit(batches)) == i) if batches > 1 else docs))
+        part = docs.filter(F.pmod("_q", F.lit(batches)) == i) if batches > 1 else docs
+        spans = log.append(part, docs)
+        found = spans if found is None else found.unionByName(spans)
     log.compact()
-    whole = found[0]
-    if batches > 1:  # a fingerprint that matched in any batch, with the extremes over all of them
-        keys = found[0].select("_h")
-        for f in found[1:]:
-            keys = keys.union(f.select("_h"))
-        whole = log.runs[0].join(keys.distinct(), "_h", "left_semi").filter("_n > 1")
-    return resolve(docs, whole, word_tokens, cut_words, equal_windows, window, anchor, scratch, crowd)
+    log.close()
+    return found if batches == 1 else found.groupBy("_r", "_q").agg(F.flatten(F.collect_list("_x")).alias("_x"))
 
 
 def substring_dedup(
-    docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", batches: int = 2, crowd: int = CROWD, anchor: int = ANCHOR
-) -> DataFrame:
+    docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES, crowd: int = CROWD, anchor: int = ANCHOR,
+    fanout: int = FANOUT, index: str | None = None, bits: int = 64,
+) -> DataFrame:
     """id, n_words, n_removed, kept (binary: the kept words joined by a space) and spans of every row.
 
     Words are maximal runs without ASCII white space. A word goes if any window of `window` words that
     covers it has a word sequence that starts anywhere else too, in this document or another; both places
     lose it. spans lists the removed ranges as first * 2^32 + end.
 
+    index is the folder of the fingerprint index (see FingerprintLog), a fresh one by default; the documents
+    are appended to it in `batches` parts.
+
     Null text has no words. Texts shorter than a window lose nothing. Rows that repeat an id are separate
-    documents, and identical rows lose all their windows; null ids are allowed. An empty table gives an
-    empty result.
+    documents, and identical rows lose all their windows; null ids are allowed. Long texts are searched in
+    blocks. Columns beyond id and text are ignored whatever their names. An empty table gives an empty result.
     """
     rows = keyed(docs, id_col, text_col)
-    hits = repeated_words(rows, window, anchor, batches, crowd)
+    hits = repeated_words(rows, window, anchor, batches, fanout, crowd, index, bits)
 
     def kept(text: bytes, first: np.ndarray, end: np.ndarray) -> tuple:
         words = text.split()

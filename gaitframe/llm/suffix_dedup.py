@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import CROWD, anchors, apply_ranges, byte_tokens, keyed, ranges, resolve, run_stats
+from .repeats import CROWD, apply_ranges, byte_tokens, keyed, ranges, resolve, summed
 from .shared import Scratch
 
 LENGTH, ANCHOR = 200, 64
@@ -120,7 +120,7 @@ def cut_bytes(text: bytes, first: np.ndarray, end: np.ndarray) -> list[bytes]:
 
 
 def suffix_dedup(
-    docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", anchor: int = ANCHOR, crowd: int = CROWD
+    docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", anchor: int = ANCHOR, crowd: int = CROWD, bits: int = 64
 ) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept (binary) and spans of every row.
 
@@ -130,13 +130,14 @@ def suffix_dedup(
     are not repeated and are never written out. Each task sorts its buckets block by block.
 
     Null text is empty. Shorter texts lose nothing. Rows that repeat an id are separate documents, and
-    identical rows lose every byte if long enough; null ids are allowed. An empty table gives an empty
-    result.
+    identical rows lose every byte if long enough; null ids are allowed. Long texts are searched in blocks.
+    Columns beyond id and text are ignored whatever their names. An empty table gives an empty result.
     """
     rows = keyed(docs, id_col, text_col)
     scratch = Scratch(docs.sparkSession, "suffix")
-    found = run_stats(anchors(rows, byte_tokens, length, anchor)).filter("_n > 1")
-    hits = resolve(rows, found, byte_tokens, cut_bytes, equal_strings, length, anchor, scratch, crowd)
+    counts = summed(rows, byte_tokens, length, anchor, bits).groupBy("_h").agg(F.sum("_n").alias("_n"))
+    again = scratch.write(counts.filter("_n > 1").select("_h"), "again")
+    hits = resolve(rows, again, byte_tokens, cut_bytes, equal_strings, length, anchor, scratch, crowd, bits=bits)
 
     def kept(text: bytes, first: np.ndarray, end: np.ndarray) -> tuple:
         left, at = [], 0
