@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, chunks, joined, window_hash, words_of
+from .shared import Scratch, arrow, chunks, joined, window_hash, words_of
 
 THETA, OVERLAP, SHINGLE = 0.5, 0.8, 5
 K1, B = 1.2, 0.75
@@ -51,11 +51,12 @@ def _sums(key: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Bm25Index:
-    """BM25 weights of items as shares of the item's own score, with the largest weight per term and block.
+    """BM25 weights of items as shares of the item's own score, searched by block-max WAND.
 
-    A passage scores an item by the weights of the item's terms it holds, so 1 means all of them. A block
-    of items is opened only if the sum of its largest weights can reach theta: terms found in many blocks
-    add one constant per block (the most they can give any of its items), others their own maximum.
+    A passage scores an item by the weights of the item's terms it holds, so 1 means all of them. Items lie
+    in blocks; every term has the list of blocks it occurs in with its largest weight in each, and its largest
+    weight of all. Terms found in many blocks are not followed: they add one constant per block, the most they
+    can give any of its items.
 
     whole holds the number of all items, their mean and greatest number of words, and terms (sorted) with
     their document frequencies, where items are only a part of them.
@@ -85,17 +86,55 @@ class Bm25Index:
         order = np.lexsort((item, term))
         self.item, self.weight = item[order], weight[order]
         self.first = np.concatenate(([0], np.cumsum(df)))
-        key, same = np.unique(term[order] * n + self.item // block, return_inverse=True)
-        top = np.zeros(len(key))
-        np.maximum.at(top, same, self.weight)
-        self.blocks = -(-n // block)
-        spread = np.bincount(key // max(n, 1), minlength=len(self.terms))
+        self.blocks = max(1, -(-n // block))
+        self.key, same = np.unique(term[order] * self.blocks + self.item // block, return_inverse=True)
+        self.top = np.zeros(len(self.key))
+        np.maximum.at(self.top, same, self.weight)
+        spread = np.bincount(self.key // self.blocks, minlength=len(self.terms))
         dense = spread > max(4, self.blocks // 4)
         self.sparse = ~dense
         each = np.bincount(self.item, weights=np.where(dense[term[order]], self.weight, 0.0), minlength=n)
-        self.constant = np.array([each[i * block : (i + 1) * block].max() for i in range(self.blocks)])
-        self.b_block, self.b_top = key % max(n, 1), top
+        self.constant = np.array([each[i * block : (i + 1) * block].max(initial=0.0) for i in range(self.blocks)])
         self.b_first = np.concatenate(([0], np.cumsum(spread)))
+        self.most = np.zeros(len(self.terms))
+        np.maximum.at(self.most, self.key // self.blocks, self.top)
+
+    def _open(self, q: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """Passage * blocks + block of every block that may hold an item of score theta; (q, t) passages and their sparse terms.
+
+        All passages go through their lists in step. A passage's lists are put in the order of the block they
+        stand at; the pivot is the first block at which the largest weights so far reach theta. Lists behind it
+        skip to it, since no block before can reach theta. The block is opened if the block's own maxima reach
+        theta too; then the lists move on. A passage without a pivot is done.
+        """
+        need, out = self.theta - self.constant.max(initial=0.0) - 1e-9, []
+        at, stop = self.b_first[t], self.b_first[t + 1]
+        while len(q):
+            total = np.bincount(q, weights=self.most[t])
+            q, t, at, stop = (x[total[q] >= need] for x in (q, t, at, stop))
+            block = self.key[at] - t * self.blocks
+            order = np.lexsort((block, q))
+            q, t, at, stop, block = (x[order] for x in (q, t, at, stop, block))
+            run = np.cumsum(self.most[t])
+            head = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1]))) if len(q) else np.zeros(0, dtype=np.int64)
+            size = np.diff(np.append(head, len(q)))
+            reach = np.flatnonzero(run - np.repeat(run[head] - self.most[t[head]], size) >= need - 1e-12)
+            own, where = np.unique(q[reach], return_index=True)
+            pivot = np.zeros(int(q[-1]) + 1 if len(q) else 0, dtype=np.int64)
+            pivot[own] = block[reach[where]]
+            mine = np.isin(q, own)
+            q, t, at, stop = (x[mine] for x in (q, t, at, stop))
+            at = np.maximum(at, np.searchsorted(self.key, t * self.blocks + pivot[q]))
+            going = at < stop
+            q, t, at, stop = (x[going] for x in (q, t, at, stop))
+            here = self.key[at] - t * self.blocks == pivot[q]
+            bound = np.bincount(q[here], weights=self.top[at[here]], minlength=len(pivot))
+            good = own[bound[own] + self.constant[pivot[own]] >= self.theta - 1e-9]
+            out.append(good * self.blocks + pivot[good])
+            at = at + here
+            going = at < stop
+            q, t, at, stop = (x[going] for x in (q, t, at, stop))
+        return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
 
     def search(self, h: np.ndarray, at: np.ndarray) -> list[tuple[int, int, float, float, float]]:
         """(text, item position, score, question and answer overlap) of every verified pair, best passage each."""
@@ -114,10 +153,7 @@ class Bm25Index:
         t = np.concatenate((term, term[back]))
         size = len(self.terms)
         pair = np.unique((q * size + t)[self.sparse[t]])
-        pq, pt = pair // size, pair % size
-        at_, row = _expand(self.b_first[pt], self.b_first[pt + 1] - self.b_first[pt])
-        key, bound = _sums(pq[row] * self.blocks + self.b_block[at_], self.b_top[at_])
-        alive = key[bound + self.constant[key % self.blocks] >= self.theta - 1e-9]
+        alive = np.sort(self._open(pair // size, pair % size))
         for b in np.flatnonzero(self.constant >= self.theta - 1e-9):  # such blocks are always opened
             alive = np.union1d(alive, np.unique(q) * self.blocks + b)
         if not len(alive):
@@ -169,9 +205,11 @@ def contaminated(
     compared in lower case without ASCII punctuation.
 
     Items are gathered for the index at most index_bytes at a time; a larger benchmark takes several
-    passes over docs, which share the term statistics and the longest item of all items. Null or empty texts and items without words match nothing. Of items that repeat an
-    id each text counts; rows of docs that repeat an id are all answered; null ids are passed on. Empty
-    tables give an empty result.
+    passes over docs, which share the term statistics and the longest item of all items. Null or empty texts
+    and items without words match nothing. Of items that repeat an id each text counts; rows of docs that
+    repeat an id are all answered; null ids are passed on. Of equally good passages of a text any one gives the
+    overlaps. Long texts are searched in blocks. Other columns are ignored whatever their names. Empty tables
+    give an empty result.
     """
     spark = docs.sparkSession
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
@@ -182,7 +220,7 @@ def contaminated(
     out = None
     if passes > 1:
         items = items.withColumn("_p", F.pmod(F.xxhash64("_b"), F.lit(passes)).cast("int"))
-        terms = Scratch(spark, "items").write(items.mapInArrow(_terms, "_p int, _h long, _n long"), "terms")
+        terms = Scratch(spark, "items").write(arrow(items, _terms, "_p int, _h long, _n long"), "terms")
         total = terms.filter("_h IS NULL").agg(F.count("_n"), F.avg("_n"), F.max("_n")).first()
         df = terms.filter("_h IS NOT NULL").groupBy("_h").agg(F.count("*").alias("_df"), F.collect_set("_p").alias("_ps"))
         df = Scratch(spark, "items").write(df, "df")
@@ -196,7 +234,7 @@ def contaminated(
             whole = (total[0], total[1] or 1.0, total[2] or 1, h[np.argsort(h)], own.column("_df").to_numpy()[np.argsort(h)])
         index = Bm25Index([(k, bytes(r["_b"])) for k, r in enumerate(got)], theta, whole=whole)
         sent = spark.sparkContext.broadcast((index, [got[k]["_i"] for k in index.ids]))
-        part = rows.mapInArrow(_search(sent), f"_id {kind}, _i {item_kind}, score double, question_overlap double, answer_overlap double")
+        part = arrow(rows, _search(sent), f"_id {kind}, _i {item_kind}, score double, question_overlap double, answer_overlap double")
         out = part if out is None else out.union(part)
     return out.withColumnsRenamed({"_id": id_col, "_i": item_col})
 
@@ -230,4 +268,5 @@ def _search(sent):
 
 
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
+    """contaminated of all documents and all benchmark items."""
     return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
