@@ -63,7 +63,7 @@ def number_rows(df: DataFrame, order: list[str], scratch: Scratch) -> tuple[Data
         first.append((row["_p"], at))
         at += row["_c"]
     offsets = df.sparkSession.createDataFrame(first, "_q long, _o long")
-    numbered = placed.join(F.broadcast(offsets), F.col("_p") == F.col("_q"))  # a row per partition
+    numbered = placed.join(offsets, F.col("_p") == F.col("_q"))  # a row per partition of the sort
     local = F.col("_m").bitwiseAND(F.lit(2**33 - 1))
     return numbered.withColumn("_n", local + F.col("_o")).drop("_m", "_p", "_q", "_o"), at
 
