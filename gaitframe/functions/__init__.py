@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime, timedelta
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -91,6 +93,11 @@ def iso_utc(ts: Column) -> Column:
     return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.date_format(ts, "SSSSSS") != "000000", F.concat(F.lit("."), F.date_format(ts, "SSSSSS"))).otherwise(""), F.lit("+00:00"))
 
 
+def iso_text(us: int) -> str:
+    """iso_utc of microseconds since 1970, on the driver."""
+    return (datetime(1970, 1, 1, tzinfo=UTC) + timedelta(microseconds=us)).isoformat()
+
+
 def event_key(*parts: Column) -> Column:
     """Idempotency key: the first 32 hex digits of the SHA-256 of the parts joined by pipes."""
     return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 32)

@@ -1,19 +1,28 @@
-"""Robust own-history and herd baselines, risk scores, injection.
+"""Robust own-history and herd baselines, risk scores, injection, recomputation.
 
-Observations are long rows: pass_id, animal_id, site_key, us (microseconds, long), feature, value.
-Frames are RANGE windows over us, so an observation costs its own window and no join; the frame's values
-stay an array, from which the centre and the spread around it are taken in one pass.
+Observations are rows pass_id, animal_id, site_key, us (microseconds, long) and one column per feature, or long
+rows with feature and value. Own history is a RANGE window over us whose values stay one array; the herd of a
+site is dealt into days first, so that a busy site spreads over its days.
 """
 
 from __future__ import annotations
 
+import bisect
+import math
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import DAY_US, robust_stats
+from ..functions import DAY_US, MAD_SCALE, iso_text, robust_stats
 
 LOOKBACK_DAYS, HERD_DAYS, MIN_OBSERVATIONS = 21, 3, 5
 ALERT, WATCH = 3.0, 2.0
+#: The herd's window reaches just under a second beyond the observation.
+AHEAD_US = 999_999
 
 
 def with_spread(df: DataFrame, values: str, prefix: str) -> DataFrame:
@@ -23,17 +32,134 @@ def with_spread(df: DataFrame, values: str, prefix: str) -> DataFrame:
     return out.withColumns({f"{prefix}_{c}": F.col(f"{name}.{c}") for c in ("centre", "spread", "kind", "count")}).drop(name)
 
 
+def history_counts(obs: DataFrame, lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
+    """obs, one row a pass, with own_rows: the animal's passes strictly before it, whatever features they have."""
+    w = Window.partitionBy("animal_id").orderBy("us").rangeBetween(-lookback_days * DAY_US, -1)
+    return obs.withColumn("own_rows", F.count(F.lit(1)).over(w))
+
+
+def herd_counts(obs: DataFrame, days: int = HERD_DAYS) -> DataFrame:
+    """obs, one row a pass, with herd_rows and herd_animals: the other passes in the herd's window, and their animals."""
+    dealt = _dealt(obs, days)
+    site = Window.partitionBy("site_key", "_deal").orderBy("us").rangeBetween(-days * DAY_US, AHEAD_US)
+    own = Window.partitionBy("site_key", "_deal", "animal_id").orderBy("us").rangeBetween(-days * DAY_US, AHEAD_US)
+    out = dealt.withColumns({"herd_rows": F.count(F.lit(1)).over(site) - 1, "_own": F.count(F.lit(1)).over(own), "_all": F.size(F.collect_set("animal_id").over(site))})
+    out = out.withColumn("herd_animals", (F.col("_all") - F.when(F.col("_own") > 1, 0).otherwise(1)).cast("long"))
+    return out.filter("_home").drop("_deal", "_home", "_own", "_all")
+
+
+def long_form(obs: DataFrame, features: list[str]) -> DataFrame:
+    """One row per pass and feature it has; other columns are kept."""
+    ids = [c for c in obs.columns if c not in features]
+    return obs.unpivot(ids, features, "feature", "value").filter("value IS NOT NULL")
+
+
 def own_history(long: DataFrame, lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
-    """long with own_values: the animal's values strictly before the observation, and own_rows, their passes."""
+    """long with own_values: the animal's values of the feature strictly before the observation."""
     w = Window.partitionBy("animal_id", "feature").orderBy("us").rangeBetween(-lookback_days * DAY_US, -1)
-    return long.withColumns({"own_values": F.collect_list("value").over(w), "own_rows": F.count(F.lit(1)).over(w)})
+    return long.withColumn("own_values", F.collect_list("value").over(w))
+
+
+def _dealt(rows: DataFrame, days: int) -> DataFrame:
+    """rows copied to every day (_deal) whose observations may have them in their window; _home marks the own day."""
+    day = lambda us: F.floor(us / DAY_US)
+    copies = F.explode(F.sequence(day(F.col("us") - AHEAD_US), day(F.col("us")) + days))
+    return rows.withColumn("_deal", copies).withColumn("_home", F.col("_deal") == day(F.col("us")))
+
+
+def deviation_median(s: list[float], c: float) -> float:
+    """Median of |x - c| over a sorted list, by merging its two sides from the centre outwards in O(log n) steps."""
+
+    def kth(k: int) -> float:
+        """k-th smallest (from 0) of the two ascending sides c - s[i-1], c - s[i-2], ... and s[i] - c, ..."""
+        lo, hi = max(0, k - (n - i)), min(k, i)
+        while lo < hi:  # how many of the left side are among the first k
+            mid = (lo + hi) // 2
+            if s[i + k - mid - 1] - c > c - s[i - 1 - mid]:
+                lo = mid + 1
+            else:
+                hi = mid
+        left = c - s[i - 1 - lo] if lo < i else math.inf
+        right = s[i + k - lo] - c if i + k - lo < n else math.inf
+        return min(left, right)
+
+    n = len(s)
+    i = bisect.bisect_left(s, c)
+    return (kth((n - 1) // 2) + kth(n // 2)) / 2
+
+
+def _summary(s: list[float]) -> tuple[float | None, float, str, int]:
+    """Centre, spread, kind and count of a sorted list, as robust_stats gives them."""
+    n = len(s)
+    if not n:
+        return None, 0.0, "undefined", 0
+    c = (s[(n - 1) // 2] + s[n // 2]) / 2
+    if n < 2:
+        return c, 0.0, "undefined", n
+    mad = deviation_median(s, c) * MAD_SCALE
+    if mad > 0:
+        return c, mad, "mad", n
+    return c, float(np.std(s)), "stdev", n
+
+
+def _sliding(days: int):
+    """Herd summaries of rows sorted by site, feature, deal and time: one sorted list slides along a group."""
+
+    def group(feature: str, rows: list[tuple]) -> Iterator[tuple]:
+        us, values = [r[1] for r in rows], [r[2] for r in rows]
+        first = end = 0
+        held: list[float] = []
+        for key, t, v, home in rows:
+            if not home:
+                continue
+            while end < len(us) and us[end] <= t + AHEAD_US:
+                bisect.insort(held, values[end])
+                end += 1
+            while us[first] < t - days * DAY_US:
+                del held[bisect.bisect_left(held, values[first])]
+                first += 1
+            place = bisect.bisect_left(held, v)  # the observation itself is left out
+            del held[place]
+            yield (key, feature, *_summary(held))
+            held.insert(place, v)
+
+    def run(batches):
+        rows, last, out, schema = [], None, [], None
+        for b in batches:
+            schema = pa.schema(list(zip(SUMMARY, (b.schema.field("_i").type, pa.string(), pa.float64(), pa.float64(), pa.string(), pa.int64()))))
+            keys = zip(*(b.column(c).to_pylist() for c in ("site_key", "feature", "_deal")))
+            cells = zip(*(b.column(c).to_pylist() for c in ("_i", "us", "value", "_home")))
+            for key, cell in zip(keys, cells):
+                if key != last and rows:
+                    out += group(last[1], rows)
+                    rows = []
+                last = key
+                rows.append(cell)
+                if len(out) > 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+                    out = []
+        if rows:
+            out += group(last[1], rows)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+    return run
+
+
+SUMMARY = ["_i", "_f", "herd_centre", "herd_spread", "herd_kind", "herd_count"]
 
 
 def herd(long: DataFrame, days: int = HERD_DAYS) -> DataFrame:
-    """long with herd_values: the site's values from days before to just under a second after, the pass itself left out."""
-    w = Window.partitionBy("site_key", "feature").orderBy("us").rangeBetween(-days * DAY_US, 999_999)
-    entries = F.collect_list(F.when(F.col("value").isNotNull(), F.struct("pass_id", "value"))).over(w)
-    return long.withColumn("herd_values", F.transform(F.filter(entries, lambda e: e["pass_id"] != F.col("pass_id")), lambda e: e["value"]))
+    """long with herd_centre, herd_spread, herd_kind and herd_count of the site's other values around each observation.
+
+    Rows are dealt to (site, feature, day) with copies for the following days, so a site spreads over its days;
+    in each of those a sorted list slides along the time and gives median and MAD without sorting again.
+    """
+    kind = long.schema["pass_id"].dataType.simpleString()
+    rows = _dealt(long.select(F.col("pass_id").alias("_i"), "site_key", "feature", "us", F.col("value").cast("double").alias("value")), days)
+    rows = rows.repartition("site_key", "feature", "_deal").sortWithinPartitions("site_key", "feature", "_deal", "us")
+    got = rows.mapInArrow(_sliding(days), f"_i {kind}, _f string, herd_centre double, herd_spread double, herd_kind string, herd_count long")
+    return long.join(got, (F.col("pass_id") == F.col("_i")) & (F.col("feature") == F.col("_f")), "left").drop("_i", "_f")
 
 
 def robust_z(value: Column, centre: Column, spread: Column) -> Column:
@@ -45,14 +171,21 @@ def deviations(long: DataFrame, worse_low: list[str] = ()) -> DataFrame:
     own = with_spread(long, "own_values", "own")
     z = robust_z(F.col("value"), F.col("own_centre"), F.col("own_spread"))
     out = own.withColumn("own_z", z).withColumn("directed_z", F.when(F.col("feature").isin(list(worse_low)), -F.col("own_z")).otherwise(F.col("own_z")))
-    if "herd_values" in long.columns:
-        out = with_spread(out, "herd_values", "herd").withColumn("herd_z", robust_z(F.col("value"), F.col("herd_centre"), F.col("herd_spread")))
+    if "herd_values" in out.columns:
+        out = with_spread(out, "herd_values", "herd")
+    if "herd_centre" in out.columns:
+        out = out.withColumn("herd_z", robust_z(F.col("value"), F.col("herd_centre"), F.col("herd_spread")))
     return out
 
 
-def assess(dev: DataFrame, min_observations: int = MIN_OBSERVATIONS) -> DataFrame:
-    """One row a pass: state, risk (mean directed z), uncertainty, own and herd deviation, shortfall."""
+def assess(dev: DataFrame, min_observations: int = MIN_OBSERVATIONS, lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
+    """One row a pass: state, risk (mean directed z), uncertainty, own and herd deviation, shortfall, note.
+
+    own_rows decides whether there is history enough; a pass with enough but no feature of usable spread has
+    a shortfall of 0. Only scored passes have deviations.
+    """
     herd_mean = [F.avg("herd_z").alias("herd_deviation")] if "herd_z" in dev.columns else []
+    marks = [F.bool_or("injected").alias("derived_from_injected")] if "injected" in dev.columns else []
     rows = dev.groupBy("pass_id", "animal_id", "site_key", "us").agg(
         F.max("own_rows").alias("observations_available"),
         F.avg("directed_z").alias("_risk"),
@@ -60,87 +193,117 @@ def assess(dev: DataFrame, min_observations: int = MIN_OBSERVATIONS) -> DataFram
         F.stddev_pop("directed_z").alias("_sd"),
         F.count("directed_z").alias("_n"),
         *herd_mean,
+        *marks,
     )
     enough = F.col("observations_available") >= min_observations
     scored = enough & (F.col("_n") > 0)
     uncertainty = F.when(F.col("_n") > 1, F.col("_sd") / F.sqrt("_n")).otherwise(F.lit(float("inf")))
-    return rows.withColumns(
+    lacking = F.format_string(f"%d prior observation(s) within {lookback_days} days; {min_observations} required", "observations_available")
+    out = rows.withColumns(
         {
             "state": F.when(scored, "scored").otherwise("insufficient_history"),
             "risk_score": F.when(scored, F.col("_risk")),
             "uncertainty": F.when(scored, uncertainty),
-            "own_deviation": F.when(enough, F.col("own_deviation")),
+            "own_deviation": F.when(scored, F.col("own_deviation")),
             "shortfall": F.greatest(F.lit(min_observations) - F.col("observations_available"), F.lit(0)),
+            "note": F.when(~enough, lacking).when(~scored, "no feature had a usable baseline spread").otherwise(""),
         }
-    ).drop("_risk", "_sd", "_n")
+    )
+    if herd_mean:
+        out = out.withColumn("herd_deviation", F.when(scored, F.col("herd_deviation")))
+    return out.drop("_risk", "_sd", "_n")
 
 
 def level(risk: Column, alert: float = ALERT, watch: float = WATCH) -> Column:
     return F.when(risk >= alert, "alert").when(risk >= watch, "watch").otherwise("observation")
 
 
-def injected(long: DataFrame, specs: DataFrame) -> DataFrame:
-    """long with value moved by the injections (spec_id, animal_id, feature, start_us, end_us, shape, magnitude).
+@dataclass(frozen=True)
+class Injection:
+    """A declared deviation: magnitude in the feature's unit, shape step, spike, ramp or transient, from start to end.
 
-    step and spike weigh 1 inside [start, end); ramp grows to 1 at the end and stays; transient is a
-    triangle over [start, end). Weights of 0 mark nothing. Specs are few and bounded by configuration.
+    No end means for good; no animal means every animal.
     """
-    t, a, b = F.col("us"), F.col("start_us"), F.col("end_us")
-    share = (t - a) / (b - a)
-    inside = (t >= a) & (t < b)
-    weight = (
-        F.when(F.col("shape").isin("step", "spike"), F.when(inside, 1.0).otherwise(0.0))
-        .when(F.col("shape") == "ramp", F.when(t < a, 0.0).when(t >= b, 1.0).otherwise(share))
-        .otherwise(F.when(inside, 1 - F.abs(2 * share - 1)).otherwise(0.0))
-    )
-    s = specs.withColumnsRenamed({"animal_id": "_animal", "feature": "_feature"})
-    moved = (
-        long.select("pass_id", "animal_id", "feature", "us")
-        .join(s, (F.col("animal_id") == F.col("_animal")) & (F.col("feature") == F.col("_feature")))
-        .withColumn("w", weight)
-        .filter("w > 0")
-        .groupBy("pass_id", "feature")
-        .agg(F.sum(F.col("w") * F.col("magnitude")).alias("_add"))
-    )
-    out = long.join(moved, ["pass_id", "feature"], "left")
-    return out.withColumn("value", F.col("value") + F.coalesce("_add", F.lit(0.0))).withColumn("injected", F.col("_add").isNotNull()).drop("_add")
 
+    feature: str
+    magnitude: float
+    shape: str
+    start_us: int
+    end_us: int | None = None
+    animal_id: str | int | None = None
 
-def recomputed(long: DataFrame, windows: DataFrame) -> DataFrame:
-    """Own-history centre and spread again, from recorded windows (pass_id, start_us, end_us), as a check."""
-    w = windows.join(long.select("pass_id", "animal_id", "feature").distinct(), "pass_id")
-    hist = long.select(F.col("animal_id"), F.col("feature"), F.col("us").alias("_us"), F.col("value").alias("_v"))
-    got = w.join(hist, ["animal_id", "feature"], "left").filter((F.col("_us") >= F.col("start_us")) & (F.col("_us") < F.col("end_us")))
-    return with_spread(got.groupBy("pass_id", "feature").agg(F.collect_list("_v").alias("_v")), "_v", "own")
+    def weight(self, us: Column) -> Column:
+        """The share of the magnitude at a time.
+
+        step and spike hold up to and including the end; a ramp grows to the end and stays; a transient is a
+        triangle that is back at 0 at the end. Without an end, or with one before the start, every shape is a step.
+        """
+        begun = us >= F.lit(self.start_us)
+        if self.end_us is None:
+            return F.when(begun, 1.0).otherwise(0.0)
+        before_end = us <= F.lit(self.end_us)
+        if self.shape in ("step", "spike") or self.end_us <= self.start_us:
+            return F.when(begun & before_end, 1.0).otherwise(0.0)
+        share = (us - F.lit(self.start_us)) / F.lit(float(self.end_us - self.start_us))
+        if self.shape == "ramp":
+            return F.when(~begun, 0.0).otherwise(F.least(share, F.lit(1.0)))
+        return F.when(begun & before_end, 1 - F.abs(2 * share - 1)).otherwise(0.0)
+
+    def applies(self) -> Column:
+        return F.lit(True) if self.animal_id in (None, "") else F.col("animal_id") == F.lit(self.animal_id)
+
+
+def injected(long: DataFrame, specs: list[Injection]) -> DataFrame:
+    """long with value moved by all specs that apply, and injected, whether any of them touches the pass.
+
+    A pass is touched by a spec of non-zero weight even if it lacks the feature that the spec names. Passes
+    without a time are left alone. Specs are configuration, so they become one expression and no join.
+    """
+    add, touched = F.lit(0.0), F.lit(False)
+    for s in specs:
+        w = F.when(s.applies() & F.col("us").isNotNull(), s.weight(F.col("us"))).otherwise(0.0)
+        touched = touched | (w != 0)
+        add = add + F.when(F.col("feature") == s.feature, w * F.lit(float(s.magnitude))).otherwise(0.0)
+    return long.withColumns({"value": F.col("value") + add, "injected": touched})
+
+
+def describe_injections(specs: list[Injection]) -> list[str]:
+    """One line per spec."""
+    out = []
+    for s in specs:
+        when = iso_text(s.start_us) + ("" if s.end_us is None else f" to {iso_text(s.end_us)}")
+        out.append(f"{s.feature}: {s.magnitude:+g} as a {s.shape} on {s.animal_id if s.animal_id not in (None, '') else 'every animal'} from {when}")
+    return out
 
 
-def within(targets: DataFrame, long: DataFrame, key: str, start: str, end: str, prefix: str) -> DataFrame:
-    """Per pass_id and feature of targets the other passes' values of one key inside [start, end), and their count.
+def within(targets: DataFrame, rows: DataFrame, key: str, start: str, end: str) -> DataFrame:
+    """Pairs of a target pass and another row of the same key inside [start, end).
 
-    A window is dealt into the days it touches and an observation lies in one day, so the join has equality
-    keys, a busy key is spread over its days and each observation is met once.
+    A window is dealt into the days it touches and a row lies in one day, so the join has equality keys, a busy
+    key is spread over its days and each row is met once.
     """
     day = lambda us: F.floor(us / DAY_US)
-    t = targets.select("pass_id", "feature", key, start, end).filter(F.col(start) < F.col(end))
+    t = targets.select("pass_id", key, start, end).distinct().filter(F.col(start) < F.col(end))
     t = t.withColumn("_day", F.explode(F.sequence(day(F.col(start)), day(F.col(end) - 1))))
-    h = long.select(F.col(key).alias("_k"), F.col("feature").alias("_f"), F.col("us").alias("_us"), F.col("value").alias("_v"), F.col("pass_id").alias("_p"), day(F.col("us")).alias("_d"))
-    on = (F.col(key) == F.col("_k")) & (F.col("feature") == F.col("_f")) & (F.col("_day") == F.col("_d"))
-    on = on & (F.col("_us") >= F.col(start)) & (F.col("_us") < F.col(end)) & (F.col("_p") != F.col("pass_id"))
-    return t.join(h, on).groupBy("pass_id", "feature").agg(F.collect_list("_v").alias(f"{prefix}_values"), F.count("*").alias(f"{prefix}_rows"))
+    h = rows.select(F.col(key).alias("_k"), F.col("us").alias("_us"), F.col("pass_id").alias("_p"), day(F.col("us")).alias("_d"), *[c for c in rows.columns if c.startswith("h_")])
+    on = (F.col(key) == F.col("_k")) & (F.col("_day") == F.col("_d")) & (F.col("_us") >= F.col(start)) & (F.col("_us") < F.col(end))
+    return t.join(h, on & (F.col("_p") != F.col("pass_id")))
 
 
-def recomputed_scores(long: DataFrame, windows: DataFrame, worse_low: list[str] = (), min_observations: int = MIN_OBSERVATIONS) -> DataFrame:
+def recomputed_scores(obs: DataFrame, windows: DataFrame, features: list[str], worse_low: list[str] = (), min_observations: int = MIN_OBSERVATIONS) -> DataFrame:
     """assess again, own and herd summaries and score, for every pass in windows, from its recorded bounds alone.
 
     windows: pass_id, own_start_us, own_end_us, herd_start_us, herd_end_us, one row a pass, half open. Nothing
-    is taken from own_history or herd, so a window recorded wrongly gives another score. As in the
-    reference, a pass that is not scored has no herd deviation.
+    is taken from own_history or herd, so a window recorded wrongly gives another score.
     """
-    targets = long.join(windows, "pass_id")
-    own = within(targets, long, "animal_id", "own_start_us", "own_end_us", "own")
-    near = within(targets, long, "site_key", "herd_start_us", "herd_end_us", "herd").drop("herd_rows")
-    rows = targets.join(own, ["pass_id", "feature"], "left").join(near, ["pass_id", "feature"], "left")
+    targets = obs.join(windows, "pass_id")
+    rows = obs.withColumns({f"h_{f}": F.col(f) for f in features})
+    out = targets.select("pass_id", "animal_id", "site_key", "us", *features)
+    for kind, key in (("own", "animal_id"), ("herd", "site_key")):
+        lists = [F.collect_list(f"h_{f}").alias(f"{kind}_{f}") for f in features]
+        got = within(targets, rows, key, f"{kind}_start_us", f"{kind}_end_us").groupBy("pass_id").agg(F.count("*").alias(f"{kind}_rows"), *lists)
+        out = out.join(got, "pass_id", "left").withColumn(f"{kind}_rows", F.coalesce(f"{kind}_rows", F.lit(0)))
     none = F.array().cast("array<double>")
-    rows = rows.withColumns({"own_values": F.coalesce("own_values", none), "herd_values": F.coalesce("herd_values", none), "own_rows": F.coalesce("own_rows", F.lit(0))})
-    out = assess(deviations(rows, worse_low), min_observations)
-    return out.withColumn("herd_deviation", F.when(F.col("state") == "scored", F.col("herd_deviation")))
+    each = [F.struct(F.lit(f).alias("feature"), F.col(f).alias("value"), F.coalesce(f"own_{f}", none).alias("own_values"), F.coalesce(f"herd_{f}", none).alias("herd_values")) for f in features]
+    long = out.select("pass_id", "animal_id", "site_key", "us", "own_rows", F.explode(F.array(*each)).alias("e")).select("*", "e.*").drop("e").filter("value IS NOT NULL")
+    return assess(deviations(long, worse_low), min_observations)
