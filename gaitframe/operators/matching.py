@@ -40,7 +40,8 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def detection_metrics(counts: DataFrame) -> DataFrame:
-    s = counts.agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"), F.sum("iou_sum").alias("iou"))
+    """One row: true and false positives, misses, precision, recall, F1 and mean overlap of the matches; 0 where nothing is to divide."""
+    s = counts.agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"), F.sum("iou_sum").alias("iou")).fillna(0)
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     return s.select("tp", "fp", "fn", ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"), ratio(F.col("iou"), tp).alias("mean_iou"))
 
@@ -51,27 +52,49 @@ def best_overlap(pairs: DataFrame, keys: list[str], threshold: float = IOU) -> D
     return pairs.filter(F.col("iou") >= threshold).withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
-def tracking_metrics(hits: DataFrame) -> DataFrame:
-    """hits: tracklet_id, order, track_id (null where unmatched). Switches, purity, mostly tracked, fragments."""
+MOSTLY = 0.8
+
+
+def tracking_metrics(hits: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row: identity switches, mean purity, mostly tracked share, mean fragmentation, tracklets and labelled tracks.
+
+    hits: tracklet_id, order, track_id (null where unmatched), every detection of every tracklet; labels: one
+    row per labelled box with its track_id. Purity is averaged over tracklets with a match. A track is mostly
+    tracked when one tracklet covers 80 % of its boxes; fragments are the tracklets that show it. Tracks are
+    known by their id alone, across sources.
+    """
     w = Window.partitionBy("tracklet_id").orderBy("order")
     seen = hits.filter("track_id IS NOT NULL")
-    switches = seen.withColumn("_p", F.lag("track_id").over(w)).agg(F.sum(F.when(F.col("_p") != F.col("track_id"), 1).otherwise(0)).alias("switches"))
-    per = seen.groupBy("tracklet_id", "track_id").count()
-    pure = per.groupBy("tracklet_id").agg(F.max("count").alias("top"), F.sum("count").alias("all")).agg(ratio(F.sum("top"), F.sum("all")).alias("purity"))
-    tracks = per.groupBy("track_id").agg(F.count("*").alias("pieces"), F.sum("count").alias("found"))
-    frag = tracks.agg(F.avg("pieces").alias("fragmentation"), F.count("*").alias("tracks"))
-    return switches.crossJoin(pure).crossJoin(frag)  # one row each
-
-
-def pose_metrics(points: DataFrame, distance: float) -> DataFrame:
-    """points: px, py (null where not predicted visible), lx, ly, visible. PCK and visibility agreement."""
-    has = F.col("px").isNotNull()
-    near = has & F.col("visible") & (F.hypot(F.col("px") - F.col("lx"), F.col("py") - F.col("ly")) <= distance)
+    switches = seen.withColumn("_p", F.lag("track_id").over(w)).agg(F.count_if(F.col("_p") != F.col("track_id")).alias("switches"))
+    per = seen.groupBy("tracklet_id", "track_id").agg(F.count("*").alias("n"))
+    pure = per.groupBy("tracklet_id").agg((F.max("n") / F.sum("n")).alias("p")).agg(F.coalesce(F.avg("p"), F.lit(0.0)).alias("purity"))
+    found = per.groupBy("track_id").agg(F.count("*").alias("pieces"), F.max("n").alias("most"))
+    tracks = labels.groupBy("track_id").agg(F.count("*").alias("length")).join(found, "track_id", "left")
+    whole = tracks.agg(
+        F.coalesce(F.avg(F.when(F.coalesce("most", F.lit(0)) / F.col("length") >= MOSTLY, 1.0).otherwise(0.0)), F.lit(0.0)).alias("mostly_tracked"),
+        F.coalesce(F.avg("pieces"), F.lit(0.0)).alias("fragmentation"), F.count("*").alias("tracks"),
+    )
+    count = hits.agg(F.count_distinct("tracklet_id").alias("tracklets"))
+    return switches.crossJoin(pure).crossJoin(whole).crossJoin(count)  # one row each
+
+
+def pose_pairs(points: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
+    """Predicted points (keys, name, x, y, null where not visible) beside their labels (keys, name, x, y, visible, position).
+
+    Of several labels for one point the last by position counts; points without a label are left out. With the
+    labelled instance among the keys, several animals of a frame stay apart.
+    """
+    last = labels.groupBy(*keys, "name").agg(F.max_by(F.struct("x", "y", "visible"), "position").alias("l"))
+    return points.join(last, [*keys, "name"]).select(*keys, "name", F.col("x").alias("px"), F.col("y").alias("py"), F.col("l.x").alias("lx"), F.col("l.y").alias("ly"), F.col("l.visible").alias("visible"))
+
+
+def pose_metrics(points: DataFrame, distance: float = 0.10, normaliser: float = 100.0) -> DataFrame:
+    """points: px, py (null where not predicted visible), lx, ly, visible. PCK, visibility agreement and their six counts."""
+    has, seen = F.col("px").isNotNull(), F.col("visible")
+    both = has & seen
+    near = both & (F.hypot(F.col("px") - F.col("lx"), F.col("py") - F.col("ly")) / normaliser <= distance)
     s = points.agg(
-        F.count("*").alias("labelled"),
-        F.count_if("visible").alias("visible"),
-        F.count_if(has & F.col("visible")).alias("compared"),
-        F.count_if(near).alias("correct"),
-        F.count_if(has == F.col("visible")).alias("agree"),
-    )
-    return s.withColumn("pck", ratio(F.col("correct"), F.col("compared"))).withColumn("visibility_agreement", ratio(F.col("agree"), F.col("labelled")))
+        F.count("*").alias("compared"), F.count_if(both).alias("evaluated"), F.count_if(near).alias("correct"), F.count_if(has).alias("claimed_visible"),
+        F.count_if(seen).alias("labelled_visible"), F.count_if(has & ~seen).alias("claimed_but_occluded"), F.count_if(has == seen).alias("_agree"),
+    )
+    return s.withColumn("pck", ratio(F.col("correct"), F.col("evaluated"))).withColumn("visibility_agreement", ratio(F.col("_agree"), F.col("compared"))).drop("_agree")
