@@ -1,4 +1,4 @@
-"""Append-only series of observations and stage tables, partitioned by site and day."""
+"""Append-only series of observations, partitioned by area, site and day."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import files
+
 KEYS = ["animal_id", "pass_id", "tracklet_id", "observed_at", "valid", "injected"]
 
 
@@ -48,18 +50,21 @@ class Series:
         return s.add("area", "string").add("site_key", "string").add("day_key", "string")
 
     def append(self, records: DataFrame) -> None:
+        """Add records to the area each belongs to; `routing` counts them."""
         wide(records, self.names).repartition("area", "site_key", "day_key").write.partitionBy("area", "site_key", "day_key").mode("append").parquet(self.root)
 
-    def read(
+    def clear(self) -> None:
+        files.delete(self.spark, self.root)
+
+    def scan(
         self, area: str = "observations", animal_ids: list[str] | None = None, site_key: str | None = None, start=None, end=None, exclude_pass_ids: list[str] | None = None
     ) -> DataFrame:
-        """Filtered and sorted observations; an empty list of animals gives no rows, a missing folder neither.
+        """Filtered observations; an empty list of animals gives no rows, a missing folder neither.
 
-        Time bounds also bound day_key, so folders outside are never listed into the scan.
+        Area and site choose folders; times (from start, before end; a missing time is in no range) reach the
+        Parquet scan. Day keys are free text, so they bound nothing.
         """
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        if not files.exists(self.spark, self.root):
             return self.spark.createDataFrame([], self.schema)
         df = self.spark.read.schema(self.schema).parquet(self.root).filter(F.col("area") == area)
         if animal_ids is not None:
@@ -67,20 +72,29 @@ class Series:
         if site_key is not None:
             df = df.filter(F.col("site_key") == site_key)
         if start is not None:
-            df = df.filter((F.col("observed_at") >= F.lit(start)) & ((F.col("day_key") >= str(start)[:10]) | (F.col("day_key") == "unknown")))
+            df = df.filter(F.col("observed_at") >= F.lit(start).cast("timestamp_ntz"))
         if end is not None:
-            df = df.filter((F.col("observed_at") < F.lit(end)) & ((F.col("day_key") <= str(end)[:10]) | (F.col("day_key") == "unknown")))
+            df = df.filter(F.col("observed_at") < F.lit(end).cast("timestamp_ntz"))
         if exclude_pass_ids:
             df = df.filter(~F.col("pass_id").isin(list(exclude_pass_ids)))
-        return df.orderBy("observed_at", "pass_id")
+        return df
+
+    def read(self, **filters) -> DataFrame:
+        """scan by (observed_at, pass_id)."""
+        return self.scan(**filters).orderBy(F.asc_nulls_last("observed_at"), "pass_id")
+
+    def observations(self, **filters) -> DataFrame:
+        """read with the features as one map of those that have a value; injected and tracklet_id are never null."""
+        df = self.read(**filters)
+        entries = F.map_from_arrays(F.array(*[F.lit(n) for n in self.names]), F.array(*[F.col(f"f_{n}") for n in self.names]))
+        kept = ["animal_id", "pass_id", "observed_at", "site_key", "day_key"]
+        return df.select(
+            *kept, F.coalesce("injected", F.lit(False)).alias("injected"), F.coalesce("tracklet_id", F.lit("")).alias("tracklet_id"),
+            F.map_filter(entries, lambda k, v: v.isNotNull()).alias("features"),
+        )
 
     def animals(self, site_key: str | None = None) -> DataFrame:
-        return self.read(site_key=site_key).select("animal_id").distinct().orderBy("animal_id")
-
-
-def record_id(columns: list[str]) -> Column:
-    """The first non-empty id of a record, else a digest of the whole record."""
-    return F.coalesce(*[F.nullif(F.col(c).cast("string"), F.lit("")) for c in columns])
+        return self.scan(site_key=site_key).select("animal_id").distinct().orderBy("animal_id")
 
 
 def long_features(obs: DataFrame, names: list[str]) -> DataFrame:
