@@ -3,629 +3,5 @@
 Doubles are rounded to six places on both sides, since engines add in different orders.
 """
 
-from __future__ import annotations
-
-from pyspark.sql import functions as F
-
-from ..functions import DAY_US, event_key, iso_utc
-from ..operators import baseline, evaluation, events, identity, matching, passes, perception, recording
-from ..sources import layout, series
-from . import views
-from .views import BOXES, LONG, OBS, PAIRS, POSES
-
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return add
-
-
-def r6(*names: str) -> list:
-    return [F.round(F.col(n), 6).alias(n) for n in names]
-
-
-# --- baseline, risk, events ------------------------------------------------------------------------
-
-_OWN = f"""
-w AS (SELECT *, count(*) OVER v AS own_rows, median(value) OVER v AS c, mad(value) OVER v * 1.4826 AS m, stddev_pop(value) OVER v AS sd
-  FROM long WINDOW v AS (PARTITION BY animal_id, feature ORDER BY us RANGE BETWEEN {21 * DAY_US} PRECEDING AND 1 PRECEDING)),
-z AS (SELECT *, CASE WHEN own_rows < 2 THEN 0 WHEN m > 0 THEN m ELSE sd END AS s FROM w),
-d AS (SELECT *, CASE WHEN s > 0 THEN (value - c) / s END AS own_z FROM z),
-d2 AS (SELECT *, CASE WHEN feature = 'k' THEN -own_z ELSE own_z END AS directed_z FROM d),
-a AS (SELECT pass_id, animal_id, site_key, us, max(own_rows) AS observations_available, avg(directed_z) AS risk, avg(own_z) AS own, stddev_pop(directed_z) AS sd, count(directed_z) AS n FROM d2 GROUP BY ALL),
-r AS (SELECT *, CASE WHEN observations_available >= 5 AND n > 0 THEN 'scored' ELSE 'insufficient_history' END AS state FROM a)"""
-
-
-def _assessed(spark, sf_dir):
-    return baseline.assess(baseline.deviations(baseline.own_history(views.long(spark, sf_dir)), ["k"]))
-
-
-@query(
-    "risk_levels",
-    f"""WITH {LONG}, {_OWN} SELECT pass_id, animal_id, state, observations_available, greatest(5 - observations_available, 0) AS shortfall,
-  round(CASE WHEN state = 'scored' THEN risk END, 6) AS risk_score, round(CASE WHEN observations_available >= 5 THEN own END, 6) AS own_deviation,
-  round(CASE WHEN state = 'scored' AND n > 1 THEN sd / sqrt(n) END, 6) AS uncertainty,
-  CASE WHEN state != 'scored' THEN 'observation' WHEN risk >= 3 THEN 'alert' WHEN risk >= 2 THEN 'watch' ELSE 'observation' END AS level FROM r""",
-)
-def risk_levels(spark, sf_dir):
-    a = _assessed(spark, sf_dir)
-    lev = F.when(F.col("state") == "scored", baseline.level(F.col("risk_score"))).otherwise("observation")
-    u = F.when(~F.col("uncertainty").isin(float("inf")), F.round("uncertainty", 6)).alias("uncertainty")
-    return a.select("pass_id", "animal_id", "state", "observations_available", "shortfall", *r6("risk_score", "own_deviation"), u, lev.alias("level"))
-
-
-@query(
-    "own_baseline",
-    f"""WITH {LONG}, {_OWN} SELECT pass_id, feature, own_rows AS own_count, round(c, 6) AS own_centre, round(s, 6) AS own_spread,
-  CASE WHEN own_rows < 2 THEN 'undefined' WHEN m > 0 THEN 'mad' ELSE 'stdev' END AS own_kind, round(own_z, 6) AS own_z FROM d""",
-)
-def own_baseline(spark, sf_dir):
-    d = baseline.deviations(baseline.own_history(views.long(spark, sf_dir)))
-    return d.select("pass_id", "feature", F.col("own_count").cast("long").alias("own_count"), *r6("own_centre", "own_spread"), "own_kind", *r6("own_z"))
-
-
-@query(
-    "herd_baseline",
-    f"""WITH {OBS.replace("event_type AS site_key", "event_type || '-' || (user_id % 20) AS site_key")},
-w AS (SELECT *, count(value) OVER v AS n, median(value) OVER v AS c, mad(value) OVER v * 1.4826 AS m, stddev_pop(value) OVER v AS sd FROM obs
-  WINDOW v AS (PARTITION BY site_key ORDER BY us RANGE BETWEEN {3 * DAY_US} PRECEDING AND 999999 FOLLOWING EXCLUDE CURRENT ROW)),
-s AS (SELECT *, CASE WHEN n < 2 THEN 0 WHEN m > 0 THEN m ELSE sd END AS sp FROM w)
-SELECT pass_id, site_key, n AS herd_count, round(c, 6) AS herd_centre, round(sp, 6) AS herd_spread, round(CASE WHEN sp > 0 THEN (value - c) / sp END, 6) AS herd_z FROM s""",
-)
-def herd_baseline(spark, sf_dir):
-    o = views.obs(spark, sf_dir, 20).withColumn("feature", F.lit("value")).filter("value IS NOT NULL")
-    h = baseline.herd(o)
-    h = baseline.with_spread(h, "herd_values", "herd")
-    z = baseline.robust_z(F.col("value"), F.col("herd_centre"), F.col("herd_spread"))
-    return h.withColumn("herd_z", z).select("pass_id", "site_key", F.col("herd_count").cast("long").alias("herd_count"), *r6("herd_centre", "herd_spread", "herd_z"))
-
-
-@query(
-    "recompute",
-    f"""WITH {LONG}, {_OWN} SELECT pass_id, feature, round(c, 6) AS own_centre, round(s, 6) AS own_spread, own_rows AS own_count FROM d WHERE pass_id % 50 = 0 AND own_rows > 0""",
-)
-def recompute(spark, sf_dir):
-    lo = views.long(spark, sf_dir)
-    # The audited assessments (recorded windows) are given; their history is recomputed from all observations.
-    windows = lo.filter("pass_id % 50 = 0").select("pass_id", (F.col("us") - 21 * DAY_US).alias("start_us"), F.col("us").alias("end_us")).distinct()
-    return baseline.recomputed(lo, windows).select("pass_id", "feature", *r6("own_centre", "own_spread"), F.col("own_count").cast("long").alias("own_count"))
-
-
-# recompute and its SQL audit one pass in fifty; this one takes every pass, and the herd and the score too.
-@query(
-    "recompute_scores",
-    f"""WITH {LONG.replace("event_type AS site_key", "event_type || '-' || (user_id % 20) AS site_key")}, {_OWN},
-hw AS (SELECT *, count(value) OVER v AS hn, median(value) OVER v AS hc, mad(value) OVER v * 1.4826 AS hm, stddev_pop(value) OVER v AS hsd FROM long
-  WINDOW v AS (PARTITION BY site_key, feature ORDER BY us RANGE BETWEEN {3 * DAY_US} PRECEDING AND 999999 FOLLOWING EXCLUDE CURRENT ROW)),
-hs AS (SELECT *, CASE WHEN hn < 2 THEN 0 WHEN hm > 0 THEN hm ELSE hsd END AS sp FROM hw),
-hd AS (SELECT pass_id, avg(CASE WHEN sp > 0 THEN (value - hc) / sp END) AS herd FROM hs GROUP BY pass_id)
-SELECT pass_id, state, observations_available, round(CASE WHEN state = 'scored' THEN risk END, 6) AS risk_score, round(CASE WHEN observations_available >= 5 THEN own END, 6) AS own_deviation,
-  round(CASE WHEN state = 'scored' THEN herd END, 6) AS herd_deviation, round(CASE WHEN state = 'scored' AND n > 1 THEN sd / sqrt(n) END, 6) AS uncertainty FROM r JOIN hd USING (pass_id)""",
-)
-def recompute_scores(spark, sf_dir):
-    lo = views.long(spark, sf_dir, 20)
-    us = F.col("us")
-    recorded = {"own_start_us": us - 21 * DAY_US, "own_end_us": us, "herd_start_us": us - 3 * DAY_US, "herd_end_us": us + 1_000_000}
-    windows = lo.select("pass_id", *[c.alias(n) for n, c in recorded.items()]).distinct()
-    a = baseline.recomputed_scores(lo, windows, ["k"])
-    u = F.when(~F.col("uncertainty").isin(float("inf")), F.round("uncertainty", 6)).alias("uncertainty")
-    return a.select("pass_id", "state", "observations_available", *r6("risk_score", "own_deviation", "herd_deviation"), u)
-
-
-_SPECS = [(1, 3, "value", 5, 15, "step", 10.0), (2, 3, "value", 10, 20, "ramp", 4.0), (3, 7, "value", 5, 25, "transient", 8.0), (4, 9, "k", 0, 9, "spike", -2.0)]
-
-
-@query(
-    "injection",
-    f"""WITH {LONG}, base AS (SELECT min(us) AS m FROM obs),
-sp AS (SELECT * FROM (VALUES {", ".join(str(s) for s in _SPECS)}) v(spec_id, animal_id, feature, d0, d1, shape, magnitude)),
-x AS (SELECT l.pass_id, l.feature, sp.magnitude, shape, (l.us - m - d0 * {DAY_US})::DOUBLE / ((d1 - d0) * {DAY_US}) AS share FROM long l JOIN sp ON l.animal_id = sp.animal_id AND l.feature = sp.feature, base),
-w AS (SELECT pass_id, feature, magnitude, CASE WHEN shape IN ('step', 'spike') THEN CASE WHEN share >= 0 AND share < 1 THEN 1 ELSE 0 END
-  WHEN shape = 'ramp' THEN CASE WHEN share < 0 THEN 0 WHEN share >= 1 THEN 1 ELSE share END
-  ELSE CASE WHEN share >= 0 AND share < 1 THEN 1 - abs(2 * share - 1) ELSE 0 END END AS w FROM x),
-g AS (SELECT pass_id, feature, sum(w * magnitude) AS add FROM w WHERE w > 0 GROUP BY ALL)
-SELECT l.pass_id, l.feature, round(l.value + coalesce(g.add, 0), 6) AS value, g.add IS NOT NULL AS injected FROM long l LEFT JOIN g USING (pass_id, feature)""",
-)
-def injection(spark, sf_dir):
-    lo = views.long(spark, sf_dir)
-    start = views.obs(spark, sf_dir).agg(F.min("us").alias("m"))
-    specs = spark.createDataFrame(_SPECS, "spec_id int, animal_id long, feature string, d0 int, d1 int, shape string, magnitude double")
-    specs = specs.crossJoin(start).withColumns({"start_us": F.col("m") + F.col("d0") * F.lit(DAY_US), "end_us": F.col("m") + F.col("d1") * F.lit(DAY_US)})  # one row of m
-    return baseline.injected(lo, specs.drop("m", "d0", "d1")).select("pass_id", "feature", *r6("value"), "injected")
-
-
-_EVENTS = f"""WITH {LONG}, {_OWN}, ev AS (SELECT pass_id, animal_id, us, CASE WHEN state != 'scored' THEN 'observation' WHEN risk >= 3 THEN 'alert' WHEN risk >= 2 THEN 'watch' ELSE 'observation' END AS level,
-  CASE WHEN state = 'scored' AND n > 1 THEN greatest(0, 1 - least(sd / sqrt(n), 1)) ELSE 0 END AS confidence FROM r)"""
-
-
-@query(
-    "health_events",
-    _EVENTS
-    + """, iso AS (SELECT *, strftime(make_timestamp(us), '%Y-%m-%dT%H:%M:%S') || CASE WHEN us % 1000000 != 0 THEN '.' || lpad((us % 1000000)::VARCHAR, 6, '0') ELSE '' END || '+00:00' AS t FROM ev)
-SELECT pass_id, level, round(confidence, 6) AS confidence, substr(sha256(animal_id || '|' || t || '|' || pass_id || '|p0-default@1|digest|' || level), 1, 32) AS idempotency_key FROM iso""",
-)
-def health_events(spark, sf_dir):
-    return events.build(_assessed(spark, sf_dir), "digest").select("pass_id", "level", *r6("confidence"), "idempotency_key")
-
-
-@query(
-    "undelivered_events",
-    _EVENTS + " SELECT level, count(*) AS events FROM ev WHERE pass_id % 4 != 0 GROUP BY level",
-)
-def undelivered_events(spark, sf_dir):
-    e = events.build(_assessed(spark, sf_dir), "digest")
-    return events.undelivered(e, e.filter("pass_id % 4 = 0")).groupBy("level").agg(F.count("*").alias("events"))
-
-
-@query(
-    "alarm_burden",
-    _EVENTS
-    + f""", n AS (SELECT count(DISTINCT (animal_id, us // {DAY_US})) AS animal_days FROM obs) SELECT count(*) FILTER (WHERE level = 'alert') AS alerts, any_value(animal_days) AS animal_days,
-  round(count(*) FILTER (WHERE level = 'alert') * 1000.0 / any_value(animal_days), 6) AS alarm_burden FROM ev, n""",
-)
-def alarm_burden(spark, sf_dir):
-    e = events.build(_assessed(spark, sf_dir), "digest")
-    return events.alarm_burden(e, views.obs(spark, sf_dir)).select("alerts", "animal_days", *r6("alarm_burden"))
-
-
-@query(
-    "lead_time",
-    _EVENTS
-    + f""", f AS (SELECT animal_id, min(us) AS f FROM ev WHERE level = 'alert' GROUP BY 1), ref AS (SELECT animal_id, max(us) AS u FROM obs WHERE animal_id % 2 = 0 GROUP BY 1)
-SELECT count(*) AS animals, round(median((u - f)::DOUBLE / {DAY_US}), 6) AS median_lead_days FROM ref JOIN f USING (animal_id)""",
-)
-def lead_time(spark, sf_dir):
-    ref = views.obs(spark, sf_dir).filter("animal_id % 2 = 0").groupBy("animal_id").agg(F.max("us").alias("reference_us"))
-    return events.lead_time(events.build(_assessed(spark, sf_dir), "digest"), ref).select("animals", *r6("median_lead_days"))
-
-
-# lead_time and its SQL take reference times of even animals only; this one takes every animal's.
-@query(
-    "lead_time_all",
-    _EVENTS
-    + f""", f AS (SELECT animal_id, min(us) AS f FROM ev WHERE level = 'alert' GROUP BY 1), ref AS (SELECT animal_id, max(us) AS u FROM obs GROUP BY 1)
-SELECT count(*) AS animals, round(median((u - f)::DOUBLE / {DAY_US}), 6) AS median_lead_days FROM ref JOIN f USING (animal_id)""",
-)
-def lead_time_all(spark, sf_dir):
-    ref = views.obs(spark, sf_dir).groupBy("animal_id").agg(F.max("us").alias("reference_us"))
-    return events.lead_time(events.build(_assessed(spark, sf_dir), "digest"), ref).select("animals", *r6("median_lead_days"))
-
-
-# --- series and stages -----------------------------------------------------------------------------
-
-
-def _records(spark, sf_dir):
-    e = views.read(spark, sf_dir, "events")
-    f = lambda n, v, q: F.struct(F.lit(n).alias("name"), v.alias("value"), q.alias("quality"))
-    low = F.when(F.col("event_id") % 6 == 0, "unusable").otherwise("good")
-    return e.select(
-        F.when(F.col("event_id") % 7 != 0, F.col("user_id").cast("string")).alias("animal_id"), F.col("event_id").cast("string").alias("pass_id"), F.col("event_id").cast("string").alias("tracklet_id"),
-        F.when(F.col("event_id") % 11 != 0, F.col("ts")).alias("observed_at"), (F.col("event_id") % 10 != 0).alias("valid"), F.lit(False).alias("injected"),
-        F.col("event_type").alias("site_key"), F.date_format("ts", "yyyy-MM-dd").alias("day_key"),
-        F.array(f("value", F.col("value"), low), f("k", F.get_json_object("props", "$.k").cast("double"), F.lit("good"))).alias("features"),
-    )
-
-
-_REC = """rec AS (SELECT *, event_id % 10 != 0 AS valid, event_id % 7 != 0 AS has_animal, event_id % 11 != 0 AS has_time FROM events),
-ar AS (SELECT *, CASE WHEN NOT valid THEN 'audit' WHEN NOT has_animal OR NOT has_time THEN 'unattributed' ELSE 'observations' END AS area,
-  CASE WHEN NOT valid THEN 'invalid' WHEN NOT has_animal THEN 'no_animal' WHEN NOT has_time THEN 'no_timestamp' ELSE '' END AS reason FROM rec)"""
-
-
-@query("series_routing", f"WITH {_REC} SELECT area, reason, count(*) AS count FROM ar GROUP BY ALL")
-def series_routing(spark, sf_dir):
-    return series.routing(_records(spark, sf_dir))
-
-
-@query(
-    "series_wide",
-    f"""WITH {_REC} SELECT area, event_id::VARCHAR AS pass_id, event_type AS site_key, strftime(ts, '%Y-%m-%d') AS day_key, round(CASE WHEN valid AND event_id % 6 != 0 THEN value END, 6) AS f_value,
-  CASE WHEN valid AND event_id % 6 != 0 THEN 'good' END AS q_value, round(CASE WHEN valid THEN CAST(json_extract_string(props, '$.k') AS DOUBLE) END, 6) AS f_k FROM ar""",
-)
-def series_wide(spark, sf_dir):
-    return series.wide(_records(spark, sf_dir), ["value", "k"]).select("area", "pass_id", "site_key", "day_key", *r6("f_value"), "q_value", *r6("f_k"))
-
-
-@query(
-    "series_read",
-    f"""WITH {_REC} SELECT user_id::VARCHAR AS animal_id, event_id::VARCHAR AS pass_id, ts AS observed_at, round(CASE WHEN event_id % 6 != 0 THEN value END, 6) AS f_value FROM ar
-WHERE area = 'observations' AND event_type = (SELECT min(event_type) FROM events) AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20' AND event_id NOT IN (1, 2, 3)""",
-)
-def series_read(spark, sf_dir):
-    w = series.wide(_records(spark, sf_dir), ["value", "k"])
-    site = views.read(spark, sf_dir, "events").agg(F.min("event_type").alias("s"))
-    out = w.join(F.broadcast(site), F.col("site_key") == F.col("s")).filter("area = 'observations' AND observed_at >= timestamp_ntz'2024-01-05 00:00:00' AND observed_at < timestamp_ntz'2024-01-20 00:00:00'")
-    return out.filter(~F.col("pass_id").isin("1", "2", "3")).select("animal_id", "pass_id", "observed_at", *r6("f_value")).orderBy("observed_at", "pass_id")
-
-
-@query("series_animals", f"WITH {_REC} SELECT DISTINCT user_id::VARCHAR AS animal_id FROM ar WHERE area = 'observations'")
-def series_animals(spark, sf_dir):
-    return series.wide(_records(spark, sf_dir), ["value"]).filter("area = 'observations'").select("animal_id").distinct().orderBy("animal_id")
-
-
-# --- identity --------------------------------------------------------------------------------------
-
-
-@query("anchor_interval_join", f"WITH {PAIRS} SELECT tracklet_id, animal_id, f AS from_us FROM pairs")
-def anchor_interval_join(spark, sf_dir):
-    return identity.interval_join(views.tracklets(spark, sf_dir), views.anchors(spark, sf_dir)).select("tracklet_id", "animal_id", "from_us")
-
-
-@query(
-    "anchor_region",
-    f"""WITH {PAIRS}, i AS (SELECT *, greatest(least(pos, 40.0) + 30 - greatest(pos, 40.0), 0) AS w FROM pairs), j AS (SELECT *, w * 10 / (600 - w * 10) AS iou FROM i),
-b AS (SELECT *, max(iou) OVER (PARTITION BY tracklet_id) AS best FROM j) SELECT tracklet_id, animal_id, f AS from_us FROM b WHERE best <= 0 OR iou >= 0.9 * best""",
-)
-def anchor_region(spark, sf_dir):
-    p = identity.interval_join(views.tracklets(spark, sf_dir), views.anchors(spark, sf_dir))
-    box = lambda x: F.struct(x.alias("x1"), F.lit(0.0).alias("y1"), (x + 30).alias("x2"), F.lit(10.0).alias("y2"))
-    p = p.withColumn("region", box(F.col("pos"))).withColumn("footprint", box(F.lit(40.0)))
-    return identity.refine_by_region(p).select("tracklet_id", "animal_id", "from_us")
-
-
-_RESOLVED = f"""WITH {PAIRS}, c AS (SELECT tracklet_id, count(DISTINCT animal_id) AS n, min(animal_id) AS one FROM pairs GROUP BY 1),
-res AS (SELECT t.tracklet_id, t.true_animal, coalesce(c.n, 0) AS candidates, CASE WHEN c.n = 1 THEN 'external_anchor' ELSE 'unresolved' END AS method, CASE WHEN c.n = 1 THEN one::VARCHAR END AS animal_id,
-  CASE WHEN c.n = 1 THEN NULL WHEN c.n > 1 THEN 'ambiguous_anchor' ELSE 'no_candidate' END AS unresolved_reason FROM t LEFT JOIN c USING (tracklet_id))"""
-
-
-def _resolved(spark, sf_dir):
-    t = views.tracklets(spark, sf_dir)
-    return t, identity.resolve(t, identity.interval_join(t, views.anchors(spark, sf_dir)))
-
-
-@query("identity_resolution", _RESOLVED + " SELECT tracklet_id, method, animal_id, unresolved_reason, candidates FROM res")
-def identity_resolution(spark, sf_dir):
-    return _resolved(spark, sf_dir)[1]
-
-
-@query("unresolved_reasons", _RESOLVED + " SELECT coalesce(unresolved_reason, 'resolved') AS reason, count(*) AS tracklets FROM res GROUP BY 1")
-def unresolved_reasons(spark, sf_dir):
-    return _resolved(spark, sf_dir)[1].groupBy(F.coalesce("unresolved_reason", F.lit("resolved")).alias("reason")).agg(F.count("*").alias("tracklets"))
-
-
-@query(
-    "identity_accuracy",
-    _RESOLVED
-    + """ SELECT method, count(*) AS n, count(animal_id) AS resolved, count(*) FILTER (WHERE animal_id = true_animal::VARCHAR) AS correct,
-  round(coalesce(count(*) FILTER (WHERE animal_id = true_animal::VARCHAR)::DOUBLE / nullif(count(animal_id), 0), 0), 6) AS accuracy, round(count(animal_id)::DOUBLE / count(*), 6) AS resolution_rate FROM res GROUP BY method""",
-)
-def identity_accuracy(spark, sf_dir):
-    t, res = _resolved(spark, sf_dir)
-    truth = t.select("tracklet_id", F.col("true_animal").cast("string").alias("animal_id"))
-    return evaluation.identity_accuracy(res, truth).select("method", "n", "resolved", "correct", *r6("accuracy", "resolution_rate"))
-
-
-@query(
-    "identity_conflicts",
-    f"""WITH {PAIRS}, c AS (SELECT tracklet_id, min(animal_id) AS animal_id, any_value(a) AS a, any_value(b) AS b FROM pairs GROUP BY 1 HAVING count(DISTINCT animal_id) = 1)
-SELECT x.animal_id, x.tracklet_id, y.tracklet_id AS other_id FROM c x JOIN c y ON x.animal_id = y.animal_id AND x.tracklet_id < y.tracklet_id AND x.a <= y.b AND y.a <= x.b""",
-)
-def identity_conflicts(spark, sf_dir):
-    t, res = _resolved(spark, sf_dir)
-    a = res.filter("animal_id IS NOT NULL").select("tracklet_id", F.col("animal_id").cast("long").alias("animal_id"))
-    a = a.join(t.select("tracklet_id", F.lit("s").alias("source_id"), F.col("start_us").alias("first_frame"), F.col("end_us").alias("last_frame")), "tracklet_id")
-    return identity.conflicts(a).select("animal_id", "tracklet_id", "other_id")
-
-
-@query(
-    "nearest_animal",
-    """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, g.label AS animal_id, max((list_cosine_similarity(q.v, g.v) + 1) / 2) AS sim FROM e q, e g WHERE q.vec_id % 5 = 0 AND g.vec_id % 5 != 0 GROUP BY ALL),
-r AS (SELECT *, row_number() OVER w AS rk, lead(sim) OVER w AS nx FROM s WINDOW w AS (PARTITION BY query_id ORDER BY sim DESC, animal_id))
-SELECT query_id, animal_id, round(sim, 6) AS similarity, rk AS rank, round(coalesce(sim - nx, 0), 6) AS margin FROM r WHERE rk <= 2""",
-)
-def nearest_animal(spark, sf_dir):
-    e = views.read(spark, sf_dir, "embeddings")
-    q = e.filter("vec_id % 5 = 0").select(F.col("vec_id").alias("query_id"), "embedding")  # the view's crops and gallery
-    g = e.filter("vec_id % 5 != 0").select(F.col("label").alias("animal_id"), "embedding")
-    return identity.nearest(q, g).select("query_id", "animal_id", *r6("similarity"), F.col("rank").cast("long").alias("rank"), *r6("margin"))
-
-
-# --- matching and metrics --------------------------------------------------------------------------
-
-
-@query(
-    "best_overlap",
-    f"""WITH {BOXES}, r AS (SELECT *, row_number() OVER (PARTITION BY frame, pi ORDER BY iou DESC, ti) AS k FROM pairs WHERE iou >= 0.5) SELECT frame, pi, ti, round(iou, 6) AS iou FROM r WHERE k = 1""",
-)
-def best_overlap(spark, sf_dir):
-    p, t = views.boxes(spark, sf_dir)
-    return matching.best_overlap(matching.frame_pairs(p, t, ["frame"]), ["frame"]).select("frame", "pi", "ti", *r6("iou"))
-
-
-# Boxes of one frame that overlap at 0.5 lie on one line number, so the greedy choice is the pair itself.
-@query(
-    "detection_metrics",
-    f"""WITH {BOXES}, m AS (SELECT count(*) AS tp, sum(iou) AS s FROM pairs WHERE iou >= 0.5), c AS (SELECT tp, s, (SELECT count(*) FROM p) - tp AS fp, (SELECT count(*) FROM t) - tp AS fn FROM m)
-SELECT tp, fp, fn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1, round(s / tp, 6) AS mean_iou FROM c""",
-)
-def detection_metrics(spark, sf_dir):
-    p, t = views.boxes(spark, sf_dir)
-    return matching.detection_metrics(matching.detection_counts(p, t, ["frame"])).select("tp", "fp", "fn", *r6("precision", "recall", "f1", "mean_iou"))
-
-
-@query(
-    "tracking_metrics",
-    f"""WITH {BOXES}, b AS (SELECT *, row_number() OVER (PARTITION BY frame, pi ORDER BY iou DESC, ti) AS k FROM pairs WHERE iou >= 0.5), h AS (SELECT tracklet_id, track_id, frame * 10 + pi AS o FROM b WHERE k = 1),
-l AS (SELECT *, lag(track_id) OVER (PARTITION BY tracklet_id ORDER BY o) AS pv FROM h), g AS (SELECT tracklet_id, track_id, count(*) AS c FROM h GROUP BY ALL), x AS (SELECT max(c) AS top, sum(c) AS al FROM g GROUP BY tracklet_id),
-k AS (SELECT track_id, count(*) AS pieces FROM g GROUP BY 1)
-SELECT (SELECT count(*) FROM l WHERE pv != track_id) AS switches, round((SELECT sum(top) / sum(al) FROM x), 6) AS purity, round((SELECT avg(pieces) FROM k), 6) AS fragmentation, (SELECT count(*) FROM k) AS tracks""",
-)
-def tracking_metrics(spark, sf_dir):
-    p, t = views.boxes(spark, sf_dir)
-    hits = matching.best_overlap(matching.frame_pairs(p, t, ["frame"]), ["frame"]).select("tracklet_id", "track_id", (F.col("frame") * 10 + F.col("pi")).alias("order"))
-    return matching.tracking_metrics(hits).select("switches", *r6("purity", "fragmentation"), "tracks")
-
-
-@query(
-    "pose_metrics",
-    """WITH q AS (SELECT CASE WHEN l_linenumber % 4 != 0 THEN l_quantity END AS px, l_quantity + l_partkey % 20 AS lx, l_partkey % 6 != 0 AS visible FROM lineitem),
-s AS (SELECT count(*) AS labelled, count(*) FILTER (WHERE visible) AS visible, count(*) FILTER (WHERE visible AND px IS NOT NULL) AS compared,
-  count(*) FILTER (WHERE visible AND px IS NOT NULL AND abs(px - lx) <= 10) AS correct, count(*) FILTER (WHERE (px IS NOT NULL) = visible) AS agree FROM q)
-SELECT labelled, visible, compared, correct, round(correct / compared, 6) AS pck, round(agree / labelled, 6) AS visibility_agreement FROM s""",
-)
-def pose_metrics(spark, sf_dir):
-    li = views.read(spark, sf_dir, "lineitem")
-    pts = li.select(
-        F.when(F.col("l_linenumber") % 4 != 0, F.col("l_quantity")).alias("px"), F.when(F.col("l_linenumber") % 4 != 0, 0.0).alias("py"),
-        (F.col("l_quantity") + F.col("l_partkey") % 20).alias("lx"), F.lit(0.0).alias("ly"), (F.col("l_partkey") % 6 != 0).alias("visible"),
-    )
-    return matching.pose_metrics(pts, 10.0).select("labelled", "visible", "compared", "correct", *r6("pck", "visibility_agreement"))
-
-
-@query(
-    "repeatability",
-    f"""WITH {LONG}, g AS (SELECT animal_id, feature, count(*) AS n, avg(value) AS m, stddev_samp(value) AS s FROM long GROUP BY ALL HAVING count(*) >= 2),
-f AS (SELECT feature, count(*) AS animals, avg(CASE WHEN m != 0 THEN s / abs(m) END) AS within_cv, stddev_samp(m) AS between_sd, avg(s) AS within_sd FROM g GROUP BY 1)
-SELECT feature, animals, round(within_cv, 6) AS within_cv, round(between_sd, 6) AS between_sd, round(between_sd ** 2 / (between_sd ** 2 + within_sd ** 2), 6) AS icc FROM f""",
-)
-def repeatability(spark, sf_dir):
-    return evaluation.repeatability(views.long(spark, sf_dir)).select("feature", "animals", *r6("within_cv", "between_sd", "icc"))
-
-
-@query(
-    "rater_agreement",
-    """WITH s AS (SELECT avg((quality = toxic)::INT) AS o, avg(quality) AS a, avg(toxic) AS b FROM labels), e AS (SELECT *, a * b + (1 - a) * (1 - b) AS k, 2 * ((a + b) / 2) * (1 - (a + b) / 2) AS g FROM s)
-SELECT round(o, 6) AS observed, round((o - k) / (1 - k), 6) AS kappa, round((o - g) / (1 - g), 6) AS ac1 FROM e""",
-)
-def rater_agreement(spark, sf_dir):
-    return evaluation.agreement(views.read(spark, sf_dir, "labels").select(F.col("quality").alias("a"), F.col("toxic").alias("b"))).select(*r6("observed", "kappa", "ac1"))
-
-
-@query("agreement_bootstrap")
-def agreement_bootstrap(spark, sf_dir):
-    rows = views.read(spark, sf_dir, "labels").select(F.col("doc_id").alias("key"), F.col("quality").alias("a"), F.col("toxic").alias("b"))
-    return evaluation.bootstrap_bound(rows)
-
-
-@query(
-    "leave_one_out",
-    """WITH c AS (SELECT doc_id, [quality, toxic, (doc_id % 2)::INT] AS s, (doc_id % 3 = 0)::INT AS model FROM labels),
-l AS (SELECT doc_id, model, s[i] AS own, list_filter(list_transform([1, 2, 3], lambda j: CASE WHEN j != i THEN s[j] END), lambda x: x IS NOT NULL) AS o FROM c, (VALUES (1), (2), (3)) v(i)),
-u AS (SELECT *, o[1] AS verdict FROM l WHERE o[1] = o[2])
-SELECT count(*) AS cases, round(avg((model = verdict)::INT), 6) AS model_agreement, round(avg((own = verdict)::INT), 6) AS rater_agreement, round(avg((model = verdict)::INT) - avg((own = verdict)::INT), 6) AS difference FROM u""",
-)
-def leave_one_out(spark, sf_dir):
-    lab = views.read(spark, sf_dir, "labels")
-    s = lab.select(
-        F.col("doc_id").alias("item"), F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0).alias("model"),
-        F.explode(F.array(*[F.struct(F.lit(i).alias("rater"), c.cast("int").alias("score")) for i, c in enumerate((F.col("quality"), F.col("toxic"), F.col("doc_id") % 2))])).alias("r"),
-    ).select("item", "model", "r.*")
-    return evaluation.leave_one_out(s).select("cases", *r6("model_agreement", "rater_agreement", "difference"))
-
-
-@query(
-    "animal_split",
-    f"""WITH {OBS}, k AS (SELECT DISTINCT animal_id FROM obs), o AS (SELECT *, row_number() OVER (ORDER BY sha256('0|' || animal_id), animal_id) AS n, count(*) OVER () AS c FROM k),
-t AS (SELECT animal_id, CASE WHEN n <= least(greatest(1, round_even(c * 0.3, 0)), c - 1) THEN 'test' ELSE 'train' END AS part FROM o)
-SELECT part, count(*) AS rows, count(DISTINCT animal_id) AS animals FROM obs JOIN t USING (animal_id) GROUP BY part""",
-)
-def animal_split(spark, sf_dir):
-    parts = evaluation.split(views.obs(spark, sf_dir), "animal_id")
-    return parts.groupBy("part").agg(F.count("*").alias("rows"), F.count_distinct("animal_id").alias("animals"))
-
-
-@query(
-    "split_leakage",
-    f"WITH {OBS}, x AS (SELECT animal_id, CASE WHEN pass_id % 3 = 0 THEN 'test' ELSE 'train' END AS part FROM obs) SELECT animal_id FROM x WHERE part = 'train' INTERSECT SELECT animal_id FROM x WHERE part = 'test'",
-)
-def split_leakage(spark, sf_dir):
-    """Keys shared by the parts of a split by rows, which the check must report."""
-    return evaluation.overlapping_keys(views.obs(spark, sf_dir).withColumn("part", F.when(F.col("pass_id") % 3 == 0, "test").otherwise("train")), "animal_id")
-
-
-# --- passes, gait, perception ----------------------------------------------------------------------
-
-_WALK = "wk AS (SELECT user_id AS tracklet_id, event_id AS frame_index, ((event_id * 37) % 101)::DOUBLE / 100 AS position FROM events), lg AS (SELECT *, lag(position) OVER (PARTITION BY tracklet_id ORDER BY frame_index) AS pv FROM wk)"
-
-
-@query("first_crossing", f"WITH {_WALK} SELECT tracklet_id, min(frame_index) FILTER (WHERE pv < 0.2 AND position >= 0.2) AS crossing FROM lg GROUP BY 1")
-def first_crossing(spark, sf_dir):
-    return passes.first_crossing(views.walk(spark, sf_dir), 0.2)
-
-
-@query("lane_passes")
-def lane_passes(spark, sf_dir):
-    return passes.segment(views.walk(spark, sf_dir))
-
-
-_TRAVEL = f"""{POSES}, s AS (SELECT pass_id, count(*) AS usable, avg(x) AS mx, avg(y) AS my, var_pop(x) AS vx, var_pop(y) AS vy, covar_pop(x, y) AS c, median(length) AS reference,
-  arg_max(x, idx) - arg_min(x, idx) AS dx, arg_max(y, idx) - arg_min(y, idx) AS dy FROM po GROUP BY 1),
-a AS (SELECT *, CASE WHEN vx + vy <= 0 THEN 0 ELSE cos(0.5 * atan2(2 * c, vx - vy)) END AS u0, CASE WHEN vx + vy <= 0 THEN 1 ELSE sin(0.5 * atan2(2 * c, vx - vy)) END AS v0 FROM s),
-tr AS (SELECT *, CASE WHEN u0 * dx + v0 * dy < 0 THEN -1 ELSE 1 END AS sg FROM a),
-pj AS (SELECT po.*, reference, mx, my, u0 * sg AS ux, v0 * sg AS uy, (x - mx) * u0 * sg + (y - my) * v0 * sg AS along, (y - my) * u0 * sg - (x - mx) * v0 * sg AS across FROM po JOIN tr USING (pass_id) WHERE usable >= 3)"""
-
-
-@query("travel_direction", f"WITH {_TRAVEL} SELECT pass_id, usable, round(u0 * sg, 6) + 0.0 AS ux, round(v0 * sg, 6) + 0.0 AS uy, round(reference, 6) AS reference FROM tr WHERE usable >= 2")
-def travel_direction(spark, sf_dir):
-    t = passes.travel(views.poses(spark, sf_dir)).filter("usable >= 2")
-    return t.select("pass_id", "usable", (F.round("ux", 6) + 0.0).alias("ux"), (F.round("uy", 6) + 0.0).alias("uy"), *r6("reference"))
-
-
-@query(
-    "motion_features",
-    f"""WITH {_TRAVEL}, l AS (SELECT *, CASE WHEN t - lag(t) OVER w > 0 THEN abs(along - lag(along) OVER w) / (t - lag(t) OVER w) / reference END AS v,
-  abs(across - (coalesce(lag(across) OVER w, 0) + across + coalesce(lead(across) OVER w, 0)) / 3) AS jit, (hy - my) * ux - (hx - mx) * uy AS head FROM pj WINDOW w AS (PARTITION BY pass_id ORDER BY idx))
-SELECT pass_id, round(median(v), 5) AS speed, round(CASE WHEN avg(v) > 0 THEN stddev_pop(v) / avg(v) ELSE 0 END, 5) AS speed_variability, round(sqrt(avg(across ** 2)) / max(reference), 5) AS lateral_sway,
-  round(median(jit) / max(reference), 5) AS tracking_jitter, round(avg(abs(head)) / max(reference), 5) AS head_lateral_offset,
-  round((quantile_cont(head - across, 0.95) - quantile_cont(head - across, 0.05)) / max(reference), 5) AS head_bob FROM l GROUP BY pass_id""",
-)
-def motion_features(spark, sf_dir):
-    f = passes.motion_features(views.poses(spark, sf_dir))
-    return f.select("pass_id", *[F.round(F.col(c), 5).alias(c) for c in ("speed", "speed_variability", "lateral_sway", "tracking_jitter", "head_lateral_offset", "head_bob")])
-
-
-def _limbs(spark, sf_dir):
-    li = views.read(spark, sf_dir, "lineitem")
-    return li.select(F.col("l_suppkey").alias("pass_id"), (F.col("l_linenumber") % 2).alias("limb"), F.unix_seconds(F.col("l_shipdate").cast("timestamp")).cast("double").alias("t"), F.col("l_quantity").alias("offset"), "l_orderkey")
-
-
-@query(
-    "stride_features",
-    """WITH g AS (SELECT l_suppkey AS pass_id, l_linenumber % 2 AS limb, quantile_cont(l_quantity, 0.95) - quantile_cont(l_quantity, 0.05) AS e FROM lineitem GROUP BY ALL HAVING count(*) >= 3)
-SELECT pass_id, round(avg(e), 6) AS stride_length, count(*) AS limbs, round(CASE WHEN count(*) = 2 THEN (max(e) - min(e)) / nullif(max(e) + min(e), 0) END, 6) AS step_asymmetry FROM g GROUP BY 1""",
-)
-def stride_features(spark, sf_dir):
-    return passes.stride_features(_limbs(spark, sf_dir)).select("pass_id", *r6("stride_length"), "limbs", *r6("step_asymmetry"))
-
-
-@query("stride_frequency")
-def stride_frequency(spark, sf_dir):
-    return passes.stride_frequency(_limbs(spark, sf_dir).withColumn("t", F.col("l_orderkey").cast("double")).drop("l_orderkey"))
-
-
-@query(
-    "curvature",
-    f"""WITH {POSES} SELECT pass_id, round(median(abs((hx - x) * (y + 7 - y) - (hy - y) * (x + 3 - x)) / nullif(sqrt((hx - x) ** 2 + (hy - y) ** 2), 0)), 6) AS spine_lateral_curvature FROM po GROUP BY 1""",
-)
-def curvature(spark, sf_dir):
-    p = views.poses(spark, sf_dir)
-    pts = p.select("pass_id", F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("hx").alias("bx"), F.col("hy").alias("by"), (F.col("x") + 3).alias("cx"), (F.col("y") + 7).alias("cy"))
-    return passes.curvature(pts).select("pass_id", *r6("spine_lateral_curvature"))
-
-
-@query(
-    "pass_validity",
-    """WITH g AS (SELECT l_orderkey AS pass_id, count(*) AS frames, count(*) FILTER (WHERE l_quantity > 10) AS usable, count(*) FILTER (WHERE l_quantity > 10 AND l_quantity < 20) AS reduced, max(l_linestatus) = 'O' AS complete FROM lineitem GROUP BY 1)
-SELECT pass_id, CASE WHEN pass_id % 9 = 0 THEN 'unresolved_identity' WHEN NOT complete THEN 'partial_pass' WHEN frames < 2 THEN 'too_few_frames' WHEN usable = 0 THEN 'no_usable_feature' WHEN usable < 3 THEN 'too_few_usable_features'
-  WHEN reduced / usable > 0.4 THEN 'too_many_reduced' ELSE 'valid' END AS validity FROM g""",
-)
-def pass_validity(spark, sf_dir):
-    q = F.col("l_quantity")
-    g = views.read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("pass_id")).agg(
-        F.count("*").alias("frames"), F.count_if(q > 10).alias("usable"), F.count_if((q > 10) & (q < 20)).alias("reduced"), (F.max("l_linestatus") == "O").alias("complete")
-    )
-    v = passes.pass_validity(F.col("pass_id") % 9 != 0, F.col("complete"), F.col("frames"), F.col("usable"), F.col("reduced"), 2)
-    return g.select("pass_id", v.alias("validity"))
-
-
-@query(
-    "detections",
-    """SELECT l_orderkey || '#' || l_linenumber || ':' || l_linenumber AS detection_id, l_discount * 10 < 0.5 AS low_confidence FROM lineitem WHERE l_discount * 10 >= 0.25""",
-)
-def detections(spark, sf_dir):
-    li = views.read(spark, sf_dir, "lineitem")
-    raw = li.select(F.col("l_orderkey").alias("source_id"), F.col("l_linenumber").alias("frame_index"), F.col("l_linenumber").alias("position"), (F.col("l_discount") * 10).alias("confidence"))
-    return perception.detections(raw).select("detection_id", "low_confidence")
-
-
-def _frames(spark, sf_dir):
-    e = views.read(spark, sf_dir, "events")
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    return e.select(F.col("user_id").alias("source_id"), F.col("event_id").alias("frame_index"), (us + (F.col("event_id") % 13 - 6) * 3_600_000_000).alias("us"), (F.col("event_id") % 5 != 0).alias("reliable"))
-
-
-_FRAMES = "f AS (SELECT user_id AS source_id, event_id AS frame_index, epoch_us(ts) + (event_id % 13 - 6) * 3600000000 AS us, event_id % 5 != 0 AS reliable FROM events), an AS (SELECT *, coalesce(reliable AND us < max(CASE WHEN reliable THEN us END) OVER (PARTITION BY source_id ORDER BY frame_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS anomaly FROM f)"
-
-
-@query(
-    "ingest_report",
-    f"""WITH {_FRAMES} SELECT source_id, count(*) FILTER (WHERE reliable) AS emitted, count(*) FILTER (WHERE NOT reliable) AS excluded, count(*) FILTER (WHERE NOT reliable) AS unreliable, count(*) FILTER (WHERE anomaly) AS anomalies,
-  min(frame_index) FILTER (WHERE reliable) AS first_index, max(frame_index) FILTER (WHERE reliable) AS last_index FROM an GROUP BY 1""",
-)
-def ingest_report(spark, sf_dir):
-    return perception.ingest_report(_frames(spark, sf_dir), "exclude")
-
-
-@query(
-    "strided_frames",
-    f"WITH {_FRAMES}, n AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY frame_index) AS k FROM f WHERE frame_index % 3 = 0 AND frame_index > 100) SELECT source_id, frame_index FROM n WHERE k <= 20",
-)
-def strided_frames(spark, sf_dir):
-    """Stride 3 after a checkpoint at frame 100, at most 20 frames a source (the operator's own limit)."""
-    return perception.strided(_frames(spark, sf_dir), 3, 100, 20).select("source_id", "frame_index")
-
-
-@query("tracker")
-def tracker(spark, sf_dir):
-    p, _ = views.boxes(spark, sf_dir)
-    b = p.select((F.col("frame") % 64).cast("string").alias("source_id"), F.col("frame").alias("frame_index"), F.col("pi").cast("long").alias("position"), "box.*")
-    return perception.track(b).groupBy("reason").agg(F.count_distinct("tracklet_id").alias("tracks"), F.count("*").alias("boxes"))
-
-
-# --- recording, layouts ----------------------------------------------------------------------------
-
-
-def _counts(spark, sf_dir):
-    li = views.read(spark, sf_dir, "lineitem")
-    return li.groupBy((F.col("l_orderkey") % 100).alias("recording"), F.col("l_orderkey").alias("frame_index")).agg(F.count_if(F.col("l_quantity") > 35).alias("boxes"), (F.max("l_quantity") / 100).alias("size"))
-
-
-_COUNTS = "c AS (SELECT l_orderkey % 100 AS recording, l_orderkey AS frame_index, count(*) FILTER (WHERE l_quantity > 35) AS boxes, max(l_quantity) / 100 AS size FROM lineitem GROUP BY ALL)"
-_SHARES = f"{_COUNTS}, s AS (SELECT recording, avg((boxes > 0)::INT) AS detected, count(*) FILTER (WHERE boxes = 1)::DOUBLE / nullif(count(*) FILTER (WHERE boxes > 0), 0) AS single, list(size ORDER BY size) FILTER (WHERE boxes > 0) AS l, count(*) AS frames FROM c GROUP BY 1)"
-
-
-@query("recording_shares", f"WITH {_SHARES} SELECT recording, round(detected, 6) AS detected, round(single, 6) AS single, round(l[len(l) // 2 + 1], 6) AS box_size, frames FROM s")
-def recording_shares(spark, sf_dir):
-    return recording.shares(_counts(spark, sf_dir)).select("recording", *r6("detected", "single", "box_size"), "frames")
-
-
-@query(
-    "recording_checks",
-    f"""WITH {_SHARES}, k AS (SELECT recording, detected >= 0.1 AS known, single >= 0.4 AS a, l[len(l) // 2 + 1] BETWEEN 0.25 AND 0.5 AS b FROM s)
-SELECT recording, CASE WHEN NOT known OR a = false OR b = false THEN 'fail' WHEN a IS NULL OR b IS NULL THEN 'unknown' ELSE 'pass' END AS status, NOT (NOT known OR coalesce(NOT a, false) OR coalesce(NOT b, false)) AS ok FROM k""",
-)
-def recording_checks(spark, sf_dir):
-    return recording.combined(recording.rules(recording.shares(_counts(spark, sf_dir)), single=0.4))
-
-
-@query(
-    "layout_sources",
-    r"""WITH p AS (SELECT 'herd/' || source || '/' || lang || '/' || lpad(doc_id::VARCHAR, 8, '0') || '_cam' || doc_id % 3 || '.jpg' AS path, source, lang, doc_id FROM documents)
-SELECT source AS day, lang AS animal, 'cam' || doc_id % 3 AS camera, count(*) AS frames, array_to_string(list(path ORDER BY path), ',') AS paths FROM p GROUP BY ALL""",
-)
-def layout_sources(spark, sf_dir):
-    d = views.read(spark, sf_dir, "documents")
-    path = F.concat(F.lit("herd/"), "source", F.lit("/"), "lang", F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.lit("_cam"), (F.col("doc_id") % 3).cast("string"), F.lit(".jpg"))
-    s = layout.sources_from_layout(d.select(path.alias("path")), "herd/{day}/{animal}/{frame}_{camera}.jpg", ["day", "animal", "camera"], "frame")
-    return s.select("day", "animal", "camera", "frames", F.concat_ws(",", "media_paths").alias("paths"))
-
-
-@query(
-    "verify_counts",
-    """WITH f AS (SELECT source AS name, count(*) AS counted FROM documents GROUP BY 1), d AS (SELECT name, counted + (CASE WHEN name = 'src1' THEN 1 ELSE 0 END) AS expected FROM f UNION ALL SELECT 'absent', 3)
-SELECT d.name, expected, coalesce(counted, 0) AS counted, coalesce(counted, 0) = expected AS ok FROM d LEFT JOIN f USING (name)""",
-)
-def verify_counts(spark, sf_dir):
-    d = views.read(spark, sf_dir, "documents").select(F.col("source").alias("name"))
-    declared = d.groupBy("name").agg((F.count("*") + F.max(F.when(F.col("name") == "src1", 1).otherwise(0))).alias("expected"))
-    declared = declared.union(spark.createDataFrame([("absent", 3)], "name string, expected long"))
-    return layout.verify_counts(d, declared)
-
-
-@query(
-    "keypoint_labels",
-    """WITH a AS (SELECT l_orderkey AS o, l_linenumber AS n, [l_quantity, l_tax * 100, (l_partkey % 3)::DOUBLE, l_quantity + 1, l_tax * 50, 2.0] AS k FROM lineitem), e AS (SELECT o, n, i, k[i * 3 + 1] AS x, k[i * 3 + 2] AS y, k[i * 3 + 3] AS f FROM a, (VALUES (0), (1)) v(i))
-SELECT 'seq' || o AS source_id, (n - 1)::INT AS frame_index, n AS instance_id, CASE i WHEN 0 THEN 'nose' ELSE 'withers' END AS name, round(x, 6) AS x, round(y, 6) AS y, f = 2 AS visible FROM e WHERE f > 0""",
-)
-def keypoint_labels(spark, sf_dir):
-    li = views.read(spark, sf_dir, "lineitem")
-    k = F.array(F.col("l_quantity"), F.col("l_tax") * 100, (F.col("l_partkey") % 3).cast("double"), F.col("l_quantity") + 1, F.col("l_tax") * 50, F.lit(2.0))
-    name = F.concat(F.lit("seq"), F.col("l_orderkey").cast("string"), F.lit(".mp4/"), F.lpad(F.col("l_linenumber").cast("string"), 6, "0"), F.lit(".jpg"))
-    out = layout.keypoint_labels(li.select(name.alias("file_name"), F.col("l_linenumber").alias("instance_id"), k.alias("keypoints")), ["nose", "withers"])
-    return out.select("source_id", "frame_index", "instance_id", "name", *r6("x", "y"), "visible")
+from . import gait, history, metrics, runs, tables, who  # noqa: F401  each registers its queries
+from .registry import ORACLES, QUERIES  # noqa: F401
