@@ -21,4 +21,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.OP1_SQL, "op6_jaccard_join": jaccard_join.OP6_SQL, "op8_line_dedup": line_dedup.OP8_SQL}
+    return {
+        "op1_exact_dedup": exact_dedup.OP1_SQL,
+        "op3_substring_dedup": substring_dedup.OP3_SQL,
+        "op6_jaccard_join": jaccard_join.OP6_SQL,
+        "op8_line_dedup": line_dedup.OP8_SQL,
+    }

@@ -9,10 +9,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .repeats import CROWD, apply_ranges, keyed, one_place, ranges, resolve, summed, word_tokens
+from .repeats import apply_ranges, keyed, one_place, ranges, resolve, summed, word_tokens
 from .shared import Scratch, shared_dir
 
 WINDOW, ANCHOR, BATCHES, FANOUT = 35, 12, 2, 4
+#: A window of words costs few rows, so fingerprints are spread sooner than those of bytes.
+CROWD = 1000
 
 
 class FingerprintLog:
@@ -229,3 +231,17 @@ def brute_force(rows: list[tuple], window: int) -> list[tuple]:
         left = b" ".join(x for p, x in enumerate(w) if p not in gone)
         out.append((i, len(w), len(gone), hashlib.sha256(left).hexdigest()))
     return out
+
+
+#: All windows of all documents by digest; every word that one of a digest seen again covers goes.
+OP3_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+h AS (SELECT doc_id, list_transform(range(1, len(ws) - 33), lambda i: md5(array_to_string(ws[i:i + 34], ' '))) AS hs FROM w WHERE len(ws) >= 35),
+k AS (SELECT doc_id, unnest(hs) AS h, generate_subscripts(hs, 1) AS i FROM h),
+d AS (SELECT h FROM k GROUP BY h HAVING count(*) > 1),
+r AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM k JOIN d USING (h)),
+a AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS p FROM w),
+m AS (SELECT a.*, r.p IS NOT NULL AS gone FROM a LEFT JOIN r ON a.doc_id = r.doc_id AND a.p = r.p)
+SELECT w.doc_id, len(any_value(w.ws)) AS n_words, count(*) FILTER (WHERE m.gone) AS n_removed, sha256(coalesce(string_agg(m.x, ' ' ORDER BY m.p) FILTER (WHERE NOT m.gone), '')) AS kept_sha256
+FROM w LEFT JOIN m ON w.doc_id = m.doc_id GROUP BY w.doc_id
+"""
