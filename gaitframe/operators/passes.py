@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -208,17 +208,21 @@ def strongest_frequency(t: np.ndarray, value: np.ndarray) -> float:
 def stride_frequency(offsets: DataFrame) -> DataFrame:
     """Mean over the limbs of a pass of their strongest frequency (F10); the pass needs a clock and two limbs declared.
 
-    The transform needs a limb's whole series in order, so it runs per pass and limb in a grouped kernel.
+    The transform needs a limb's whole series in order: it travels as one list, and a kernel takes many at once.
     """
-
-    def peak(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen = pdf.dropna(subset=["offset"]).sort_values("idx")
-        f = math.nan if pdf.t.isna().any() else strongest_frequency(seen.t.to_numpy(float), seen["offset"].to_numpy(float))
-        return pd.DataFrame({"pass_id": pdf.pass_id.iloc[:1], "f": [f]})
-
     kind = offsets.schema["pass_id"].dataType.simpleString()
-    per = offsets.select("pass_id", "limb", "idx", "t", "offset").groupBy("pass_id", "limb").applyInPandas(peak, f"pass_id {kind}, f double")
-    out = per.groupBy("pass_id").agg(F.count("*").alias("_limbs"), F.avg(F.when(~F.isnan("f"), F.col("f"))).alias("stride_frequency"))
+    seen = F.when(F.col("offset").isNotNull(), F.struct("idx", "t", F.col("offset").alias("o")))
+    per = offsets.groupBy("pass_id", "limb").agg(F.bool_or(F.col("t").isNull()).alias("_off"), F.array_sort(F.collect_list(seen)).alias("_s"))
+    per = per.select("pass_id", F.when(~F.col("_off") & (F.size("_s") >= 6), F.transform("_s", lambda x: x["t"])).alias("_t"), F.transform("_s", lambda x: x["o"]).alias("_v"))
+
+    def run(batches):
+        for b in batches:
+            t, v = b.column("_t"), b.column("_v")
+            f = [strongest_frequency(t[i].values.to_numpy(), v[i].values.to_numpy()) if t[i].is_valid else math.nan for i in range(b.num_rows)]
+            yield pa.record_batch([b.column("pass_id"), pa.array(f, pa.float64())], names=["pass_id", "f"])
+
+    out = per.mapInArrow(run, f"pass_id {kind}, f double").groupBy("pass_id")
+    out = out.agg(F.count("*").alias("_limbs"), F.avg(F.when(~F.isnan("f"), F.col("f"))).alias("stride_frequency"))
     return out.filter("_limbs = 2 AND stride_frequency IS NOT NULL").drop("_limbs")
 
 
