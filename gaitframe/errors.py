@@ -53,9 +53,5 @@ class ViewMismatchError(EngineError):
     """A source's or feature's view is not the skeleton's, or not declared."""
 
 
-class UnmaskedClipError(EngineError):
-    """A clip may not be kept without a mask."""
-
-
 class IsolationError(EngineError):
     """The output folder would be kept under version control."""

@@ -7,8 +7,10 @@ import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..config import canonical
+from .evaluation import assert_no_leakage, split
 
 COUNTS = ("long", "bigint", "int")
 
@@ -70,6 +72,24 @@ class Report:
         return "\n".join(lines + (["", "## Injections", *[f"- {x}" for x in self.injections]] if self.injections else []))
 
 
+def evaluate(inputs: dict, items: DataFrame, key: str, families: dict[str, DataFrame | None], test_fraction: float = 0.3, seed: int = 0, lacking: dict[str, str] = {}) -> Report:
+    """A report over families of metrics, each a one-row table or None.
+
+    The split of the items is checked for shared keys before any metric is computed. A family without a table is
+    absent, and what it lacks (lacking, by family) is stated.
+    """
+    parts = split(items, key, test_fraction, seed)
+    assert_no_leakage(parts, key)
+    n = {r["part"]: r["n"] for r in parts.groupBy("part").agg(F.count_distinct(key).alias("n")).collect()}
+    report = Report(inputs | {"split": f"{key}-disjoint:seed={seed}:test_fraction={test_fraction}:train={n.get('train', 0)}:test={n.get('test', 0)}"})
+    for name, row in families.items():
+        if row is None:
+            report.limitations.append(f"{name} was not computed: {lacking.get(name, 'there is no ground truth for it')}; it is unmeasured, not zero.")
+        else:
+            report.add(name, row)
+    return report
+
+
 def served_labels(families: dict[str, set[str]]) -> list[str]:
     """A limitation for each family whose models only serve labels, by the identities its rows carry."""
     return [f"The {n} family comes from a backend that serves labels ({', '.join(sorted(m))}), so its scores measure no model." for n, m in families.items() if any("label" in x for x in m)]

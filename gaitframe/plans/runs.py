@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import baseline, events, run
-from ..sources import files, series
+from ..operators import baseline, events, report, run
+from ..sources import files, series, stages
 from ..sources.delivery import Delivery
-from . import views
+from . import history, metrics, views, who
 from .history import _EVENTS, _assessed
-from .registry import query
+from .registry import ORACLES, query
 from .tables import FEATURES, REC, records
 
 #: A customer is a tracklet, an order one of its passes (its items the poses), a part priority the reader.
@@ -156,3 +156,35 @@ def run_counters(spark, sf_dir):
     return run.run_counters(r, r, a, e).withColumn("delivered", F.lit(d.report.delivered).cast("long"))
 
 
+
+
+@query("record_payloads", "SELECT o_orderkey, o_orderstatus, round(o_totalprice, 2) AS o_totalprice, o_orderpriority FROM orders")
+def record_payloads(spark, sf_dir):
+    """Records to JSON and back."""
+    o = views.read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    back = stages.from_payload(stages.payload(o, "order", "1"), o.schema, "order")
+    return back.withColumn("o_totalprice", F.round("o_totalprice", 2))
+
+
+_FAMILIES = {"detection": ("detection_metrics", ""), "tracking": ("tracking_metrics", ""), "identity": ("identity_accuracy", "method = 'external_anchor'"), "operational": ("alarm_burden", "")}
+_COLUMNS = {
+    "detection": ["tp", "fp", "fn", "precision", "recall", "f1", "mean_iou"], "tracking": ["switches", "purity", "mostly_tracked", "fragmentation", "tracks", "tracklets"],
+    "identity": ["n", "resolved", "correct", "accuracy", "resolution_rate"], "operational": ["alerts", "animal_days", "alarm_burden"],
+}
+
+
+@query(
+    "evaluation_report",
+    " UNION ALL ".join(
+        f"SELECT '{f}' AS family, metric, value FROM (UNPIVOT (SELECT {', '.join(f'{c}::DOUBLE AS {c}' for c in _COLUMNS[f])} FROM ({ORACLES[q]}) x {'WHERE ' + w if w else ''}) ON COLUMNS(*) INTO NAME metric VALUE value)"
+        for f, (q, w) in _FAMILIES.items()
+    ),
+)
+def evaluation_report(spark, sf_dir):
+    """All families of one report; poses have no labels here, which the report says."""
+    made = {"detection": metrics.detection_metrics, "tracking": metrics.tracking_metrics, "identity": who.identity_accuracy, "operational": history.alarm_burden}
+    rows = {f: made[f](spark, sf_dir).filter(w) if w else made[f](spark, sf_dir) for f, (_, w) in _FAMILIES.items()}
+    inputs = {"dataset_name": "driver", "dataset_version": "1", "model_identities": {}, "config_digest": "digest", "feature_set_version": "1", "skeleton": "none", "site_keys": ["a", "b"]}
+    r = report.evaluate(inputs, views.obs(spark, sf_dir).select("pass_id", "animal_id"), "animal_id", {**{f: x.select(_COLUMNS[f]) for f, x in rows.items()}, "pose": None})
+    got = [(f["name"], k, float(v)) for f in r.families for k, v in (f["metrics"] | f["counts"]).items()]
+    return spark.createDataFrame(got, "family string, metric string, value double")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..errors import MissingFieldError
 from . import files
 
 STAGES = ("detections", "tracklets", "poses", "identity_assignments", "passes", "features", "assessments", "events")
@@ -22,6 +23,24 @@ def record_id(df: DataFrame) -> Column:
     return F.coalesce(*ids, F.substring(F.sha2(F.to_json(F.struct(*df.columns)), 256), 1, 32))
 
 
+def payload(df: DataFrame, name: str, version: str) -> DataFrame:
+    """record_id and payload: each record as JSON with the name and version of its schema."""
+    body = F.struct(F.lit(name).alias("schema_name"), F.lit(version).alias("schema_version"), *df.columns)
+    return df.select(record_id(df).alias("record_id"), F.to_json(body, {"ignoreNullFields": "false"}).alias("payload"))
+
+
+def from_payload(rows: DataFrame, schema: T.StructType, name: str = "record") -> DataFrame:
+    """The records of payload; fields that are not in the schema are left out, a missing required one is refused by its name."""
+    loose = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
+    out = rows.select(F.from_json("payload", loose).alias("r")).select("r.*")
+    needed = [f.name for f in schema.fields if not f.nullable]
+    if needed:
+        lost = out.select(F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in needed])).alias("lost")).filter(F.size("lost") > 0).limit(1).collect()
+        if lost:
+            raise MissingFieldError(name, lost[0][0][0])
+    return out
+
+
 class StageStore:
     """root/stages/<stage>/site_key=/day_key=; the schema of each stage lies beside it, so partition keys stay strings."""
 

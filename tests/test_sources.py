@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from gaitframe import config, errors, profiles
 from gaitframe.operators import identity, perception, report, run
-from gaitframe.sources import delivery, files, layout, series
+from gaitframe.sources import delivery, files, isolation, layout, series, stages
 from gaitframe.sources.stages import StageStore
 
 
@@ -220,3 +220,37 @@ def test_served_points_follow_the_best_box(spark):
     b = spark.createDataFrame([("s", 1, 0, "a", box(2)), ("s", 1, 1, "b", box(0)), ("s", 1, 2, "c", box(59))], f"source_id string, frame_index int, position int, track_id string, {kind}")
     p = spark.createDataFrame([("s", 1, t, "nose", 1.0, 2.0, t == "a") for t in "abc"], "source_id string, frame_index int, track_id string, name string, x double, y double, visible boolean")
     assert [(r.detection_id, r.track_id, r.confidence) for r in perception.served_points(d, b, p).collect()] == [("d1", "a", 1.0)]  # of equals the first
+
+
+def test_output_must_not_be_tracked(tmp_path):
+    import subprocess
+
+    assert isolation.checked_root(str(tmp_path / "out")) == str(tmp_path / "out") and isolation.checked_root("s3a://b/x") == "s3a://b/x"
+    tree = tmp_path / "tree"
+    tree.mkdir()
+    subprocess.run(["git", "init", "-q", str(tree)], check=True)
+    (tree / ".gitignore").write_text("data/\n")
+    assert isolation.checked_root(str(tree / "data" / "runs"))
+    with pytest.raises(errors.IsolationError):
+        isolation.checked_root(str(tree / "runs"))
+
+
+def test_payloads_name_what_is_missing(spark):
+    from pyspark.sql import types as T
+
+    d = spark.createDataFrame([("p1", 1.5, None, ["a", "b"]), ("p2", float("nan"), "x", [])], "pass_id string, v double, note string, l array<string>")
+    p = stages.payload(d, "thing", "2")
+    assert sorted(r.record_id for r in p.collect()) == ["p1", "p2"] and '"schema_name":"thing","schema_version":"2"' in p.first().payload
+    need = T.StructType([T.StructField("pass_id", T.StringType(), False), T.StructField("l", T.ArrayType(T.StringType()))])
+    assert sorted(map(tuple, stages.from_payload(p, need).collect())) == [("p1", ["a", "b"]), ("p2", [])]
+    with pytest.raises(errors.MissingFieldError) as e:
+        stages.from_payload(p, T.StructType([T.StructField("note", T.StringType(), False)]), "thing")
+    assert e.value.field == "note"
+
+
+def test_evaluation_says_what_it_lacks(spark):
+    items = spark.createDataFrame([(f"p{i}", f"a{i % 5}") for i in range(20)], "pass_id string, animal string")
+    inputs = {"dataset_name": "d", "dataset_version": "1", "model_identities": {}, "config_digest": "c", "feature_set_version": "1", "skeleton": "k", "site_keys": ["a", "b"]}
+    r = report.evaluate(inputs, items, "animal", {"detection": spark.createDataFrame([(0.5,)], "precision double"), "pose": None})
+    assert [f["name"] for f in r.families] == ["detection"] and "pose was not computed" in r.limitations[0] and r.inputs["split"].endswith("train=3:test=2")
+    assert not any("site-disjoint" in x for x in r.declared())
