@@ -95,20 +95,20 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Rows go by id and text, null-safe, so another row of the same id stays. Of rows that repeat both, the
     first in the order of text and then of the other columns stays. Null and empty texts are one group;
-    columns may have any names but _sha, _i, _s, _kept, _n and _first. An empty table stays empty.
+    columns may have any names that do not begin with _gaitframe. An empty table stays empty.
     """
     scratch = Scratch(docs.sparkSession, "copies")
-    groups = exact_dedup(docs, id_col, text_col).filter("group_size > 1").groupBy(F.col(id_col).alias("_i"), F.col("text_sha256").alias("_s"), F.col("kept").alias("_kept"))
-    groups = scratch.write(groups.agg(F.count("*").alias("_n")), "groups")
+    groups = exact_dedup(docs, id_col, text_col).filter("group_size > 1").groupBy(F.col(id_col).alias("_gaitframe_id"), F.col("text_sha256").alias("_gaitframe_text"), F.col("kept").alias("_gaitframe_kept"))
+    groups = scratch.write(groups.agg(F.count("*").alias("_gaitframe_n")), "groups")
     names = docs.columns
-    rows = docs.withColumn("_sha", F.sha2(spaced(F.col(text_col)).cast("binary"), 256))
-    same = (F.col("_sha") == F.col("_s")) & F.col(id_col).eqNullSafe(F.col("_i"))
-    once = rows.join(groups.filter("NOT _kept OR _n > 1"), same, "left_anti").select(names)
-    repeats = groups.filter("_kept AND _n > 1")
+    rows = docs.withColumn("_gaitframe_sha", F.sha2(spaced(F.col(text_col)).cast("binary"), 256))
+    same = (F.col("_gaitframe_sha") == F.col("_gaitframe_text")) & F.col(id_col).eqNullSafe(F.col("_gaitframe_id"))
+    once = rows.join(groups.filter("NOT _gaitframe_kept OR _gaitframe_n > 1"), same, "left_anti").select(names)
+    repeats = groups.filter("_gaitframe_kept AND _gaitframe_n > 1")
     if repeats.isEmpty():
         return once
-    order = Window.partitionBy("_sha").orderBy(text_col, *[c for c in names if c != text_col])
-    first = rows.join(repeats, same, "left_semi").withColumn("_first", F.row_number().over(order)).filter("_first = 1")
+    order = Window.partitionBy("_gaitframe_sha").orderBy(text_col, *[c for c in names if c != text_col])
+    first = rows.join(repeats, same, "left_semi").withColumn("_gaitframe_first", F.row_number().over(order)).filter("_gaitframe_first = 1")
     return once.unionByName(first.select(names))
 
 

@@ -92,3 +92,23 @@ def test_stages_tell_rows_of_one_id_and_null_ids_apart(spark, tmp_path):
     spark.createDataFrame([(1, " ".join(item))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert stage(corpus_pipeline.clean, [(1, leak, "s"), (1, c, "s"), (2, d, "s")]) == [(1, c), (2, d)]
     assert stage(corpus_pipeline.clean, [(None, leak, "s"), (3, d, "s")]) == [(3, d)]
+
+
+def test_stages_leave_other_columns_alone(spark, tmp_path):
+    r = random.Random(9)
+    text = lambda n: " ".join("".join(r.choice("aeioukst") for _ in range(r.randint(3, 7))) for _ in range(n))
+    a, b = text(60), text(50)
+    item = text(14) + "? " + text(8) + "."
+    extra = "_row long, _gone long, _n long, _s string, _i long, _kept boolean, _r long, _q long, _t string, _c long, component_id long, keep_id long, lang_pred string"
+    rest = (1, 2, 3, "s", 4, True, 5, 6, "t", 7, 8, 9, "l")
+    rows = [(1, a, "en", *rest), (2, a, "en", *rest), (3, b, "en", *rest), (4, b + " zz", "en", *rest), (5, text(9) + " " + item, "en", *rest), (6, None, "en", *rest)]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, lang string, {extra}")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    want = {"language_id": {1, 2, 3, 4, 5}, "exact_dedup": {1, 3, 4, 5, 6}, "jaccard_join": {1, 3, 5, 6} | {2}, "decontaminate": {1, 2, 3, 4, 6}}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        rows = docs.filter("doc_id != 2") if name == "jaccard_join" else docs
+        got = stage(spark, rows, str(tmp_path))
+        assert got.columns == docs.columns and got.schema["_kept"].dataType.simpleString() == "boolean"
+        kept = got.collect()
+        assert {x.doc_id for x in kept} == want[name] - ({2} if name == "jaccard_join" else set()) and all(tuple(x)[3:] == rest for x in kept), name
+    assert corpus_pipeline.STAGES[4][1](spark, docs, str(tmp_path)).count() == 6
