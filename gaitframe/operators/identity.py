@@ -15,34 +15,56 @@ HOUR_US = 3_600_000_000
 WIDTH, LEVELS = 16, 8
 
 
-def _binned(rows: DataFrame, start: str, end: str, side: str, bin_us: int) -> DataFrame:
-    """rows in every bin of their level and of all coarser ones: _level, _bin, _own<side>; long intervals get coarse bins."""
+def _owned(rows: DataFrame, start: str, end: str, bin_us: int) -> DataFrame:
+    """rows that are intervals, with _own, the level whose bins fit their length."""
     length = F.col(end) - F.col(start)
     own = F.lit(LEVELS - 1)
     for k in range(LEVELS - 2, -1, -1):
         own = F.when(length <= WIDTH * bin_us * WIDTH**k, k).otherwise(own)
-    rows = rows.filter(F.col(start).isNotNull() & F.col(end).isNotNull() & (F.col(start) <= F.col(end))).withColumn(f"_own{side}", own)
-    size = lambda k: F.lit(float(bin_us)) * F.pow(F.lit(float(WIDTH)), k)
-    rows = rows.withColumn("_level", F.explode(F.sequence(F.col(f"_own{side}"), F.lit(LEVELS - 1)))).withColumn("_size", size(F.col("_level")))
-    bins = F.sequence(F.floor(F.col(start) / F.col("_size")), F.floor(F.col(end) / F.col("_size")))
-    return rows.withColumn("_bin", F.explode(bins))
+    return rows.filter(F.col(start).isNotNull() & F.col(end).isNotNull() & (F.col(start) <= F.col(end))).withColumn("_own", own)
 
 
-def overlaps(left: DataFrame, right: DataFrame, keys: list[str], lspan: tuple[str, str], rspan: tuple[str, str], bin_us: int = HOUR_US) -> DataFrame:
+def levels(rows: DataFrame, start: str, end: str, bin_us: int) -> list[int]:
+    """The levels, LEVELS at most, that the intervals of rows own."""
+    return sorted(r[0] for r in _owned(rows, start, end, bin_us).select("_own").distinct().collect())
+
+
+def _binned(rows: DataFrame, start: str, end: str, bin_us: int, at: Column) -> DataFrame:
+    """rows in every bin of the levels in the array at: _level, _size, _bin."""
+    size = F.lit(float(bin_us)) * F.pow(F.lit(float(WIDTH)), F.col("_level"))
+    rows = rows.withColumn("_level", F.explode(at)).withColumn("_size", size)
+    return rows.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(start) / F.col("_size")), F.floor(F.col(end) / F.col("_size")))))
+
+
+def overlaps(
+    left: DataFrame, right: DataFrame, keys: list[str], lspan: tuple[str, str], rspan: tuple[str, str], bin_us: int = HOUR_US, held: tuple[list[int], list[int]] | None = None
+) -> DataFrame:
     """Pairs of left and right rows with equal keys whose closed intervals overlap; column names must differ beyond keys.
 
     Intervals are dealt into time bins of a size that fits their length, so the join has equality keys, a hot
     key is spread over its bins, and an interval makes a bounded number of rows however long it is. A pair is
-    met at the coarser of its two levels, in the first bin both lie in. Rows without an end never match.
+    met at the coarser of its two levels, in the first bin both lie in: rows of a level meet the other side's
+    copies of that level only, and copies are made only for levels that the other side owns (held: the levels
+    of left and right, or more; else they are looked up). Rows without an end never match.
     """
-    a = _binned(left, *lspan, "l", bin_us)
-    b = _binned(right, *rspan, "r", bin_us).withColumnsRenamed({k: f"_{k}" for k in keys} | {"_level": "_rlevel", "_bin": "_rbin", "_size": "_rsize"})
+    held = held or (levels(left, *lspan, bin_us), levels(right, *rspan, bin_us))
+    a, b = _owned(left, *lspan, bin_us), _owned(right, *rspan, bin_us)
     on = (F.col("_level") == F.col("_rlevel")) & (F.col("_bin") == F.col("_rbin"))
     for k in keys:
         on = on & (F.col(k) == F.col(f"_{k}"))
-    on = on & (F.col(rspan[0]) <= F.col(lspan[1])) & (F.col(lspan[0]) <= F.col(rspan[1])) & (F.col("_level") == F.greatest("_ownl", "_ownr"))
+    on = on & (F.col(rspan[0]) <= F.col(lspan[1])) & (F.col(lspan[0]) <= F.col(rspan[1]))
     on = on & (F.col("_bin") == F.floor(F.greatest(F.col(lspan[0]), F.col(rspan[0])) / F.col("_size")))
-    return a.join(b, on).drop("_ownl", "_ownr", "_level", "_bin", "_size", "_rlevel", "_rbin", "_rsize", *[f"_{k}" for k in keys])
+    own, copies = F.array("_own"), lambda ks, least: F.filter(F.array(*map(F.lit, ks)).cast("array<int>"), least)
+
+    def met(at_left: Column, at_right: Column) -> DataFrame:
+        x = _binned(a, *lspan, bin_us, at_left).drop("_own")
+        y = _binned(b, *rspan, bin_us, at_right).drop("_own", "_size").withColumnsRenamed({k: f"_{k}" for k in keys} | {"_level": "_rlevel", "_bin": "_rbin"})
+        return x.join(y, on).drop("_level", "_bin", "_size", "_rlevel", "_rbin", *[f"_{k}" for k in keys])
+
+    out = met(own, copies(held[0], lambda k: k >= F.col("_own")))
+    if held[0] and held[1] and min(held[0]) < max(held[1]):
+        out = out.unionByName(met(copies(held[1], lambda k: k > F.col("_own")), own))
+    return out
 
 
 def interval_join(tracklets: DataFrame, anchors: DataFrame, bin_us: int = HOUR_US, tolerance_us: int = 0) -> DataFrame:
@@ -146,11 +168,15 @@ def nearest(queries: DataFrame, gallery: DataFrame, top: int = 2) -> DataFrame:
     return out.filter(F.col("rank") <= keep)
 
 
-def conflicts(assigned: DataFrame, bin_us: int = 1 << 10) -> DataFrame:
-    """Pairs of tracklets of one animal and source whose closed frame ranges overlap: one animal at two places."""
+def conflicts(assigned: DataFrame, bin_us: int = 1 << 10, spans: DataFrame | None = None) -> DataFrame:
+    """Pairs of tracklets of one animal and source whose closed frame ranges overlap: one animal at two places.
+
+    spans (first_frame, last_frame): the ranges of assigned, or more, where those are cheaper to read.
+    """
     a = assigned.filter("animal_id IS NOT NULL").select("animal_id", "source_id", "tracklet_id", "first_frame", "last_frame")
     b = a.withColumnsRenamed({"tracklet_id": "other_id", "first_frame": "o_first", "last_frame": "o_last"})
-    pairs = overlaps(a, b, ["animal_id", "source_id"], ("first_frame", "last_frame"), ("o_first", "o_last"), bin_us)
+    own = levels(a if spans is None else spans, "first_frame", "last_frame", bin_us)
+    pairs = overlaps(a, b, ["animal_id", "source_id"], ("first_frame", "last_frame"), ("o_first", "o_last"), bin_us, (own, own))
     return pairs.filter("tracklet_id < other_id").select("animal_id", "source_id", "tracklet_id", "other_id")
 
 

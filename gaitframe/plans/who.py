@@ -75,12 +75,14 @@ _CONFLICTS = ", cf AS (SELECT x.animal_id, x.tracklet_id, y.tracklet_id AS other
 
 def _claimed(spark, sf_dir):
     t, res = _resolved(spark, sf_dir)
-    return res.join(t.select("tracklet_id", F.col("site_key").alias("source_id"), F.col("start_us").alias("first_frame"), F.col("end_us").alias("last_frame")), "tracklet_id")
+    spans = t.select("tracklet_id", F.col("site_key").alias("source_id"), F.col("start_us").alias("first_frame"), F.col("end_us").alias("last_frame"))
+    return res.join(spans, "tracklet_id"), spans
 
 
 @query("identity_conflicts", _RESOLVED + _CONFLICTS + " SELECT * FROM cf")
 def identity_conflicts(spark, sf_dir):
-    return identity.conflicts(_claimed(spark, sf_dir), identity.HOUR_US).select("animal_id", "tracklet_id", "other_id")
+    a, spans = _claimed(spark, sf_dir)
+    return identity.conflicts(a, identity.HOUR_US, spans).select("animal_id", "tracklet_id", "other_id")
 
 
 @query(
@@ -92,8 +94,8 @@ def identity_conflicts(spark, sf_dir):
   CASE WHEN h.tracklet_id IS NULL THEN candidates ELSE animal_id END AS candidates FROM res LEFT JOIN h USING (tracklet_id)""",
 )
 def identity_withheld(spark, sf_dir):
-    a = _claimed(spark, sf_dir)
-    out = identity.withhold(a, identity.conflicts(a, identity.HOUR_US))
+    a, spans = _claimed(spark, sf_dir)
+    out = identity.withhold(a, identity.conflicts(a, identity.HOUR_US, spans))
     return out.select("tracklet_id", "method", "animal_id", "unresolved_reason", F.concat_ws(",", "candidate_animal_ids").alias("candidates"))
 
 
