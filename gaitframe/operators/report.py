@@ -26,8 +26,11 @@ class Report:
     injections: list[str] = field(default_factory=list)
 
     def add(self, name: str, row: DataFrame, notes: list[str] = ()) -> Report:
-        """A family from a one-row table: whole numbers are its counts, the rest its metrics."""
+        """A family from a one-row table: whole numbers are its counts, the rest its metrics. One without a row is absent, which is stated."""
         got, kinds = row.first(), dict(row.dtypes)
+        if got is None:
+            self.limitations.append(f"{name} was not computed: nothing was there to measure; it is unmeasured, not zero.")
+            return self
         self.families.append(
             {
                 "name": name, "metrics": {k: float(got[k]) for k in row.columns if kinds[k] not in COUNTS and got[k] is not None},
