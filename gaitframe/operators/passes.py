@@ -110,11 +110,14 @@ def geometry(frames: DataFrame, min_frames: int = 3) -> DataFrame:
     The direction is the main axis of the path, turned the way the path ends; of a path that does not move it is
     (1, 0). Passes with fewer than min_frames usable frames or without a length are left out. All of it comes
     from windows over the pass, so frames move once.
+
+    Of a path that ends at a right angle to its main axis the side is left to the rounding of the sums, as in
+    the SQL; the frames are summed in one order, the last first, so that it does not change from run to run.
     """
     seen = F.col("ax").isNotNull() & F.col("bx").isNotNull()
     f = frames.withColumns({"x": F.when(seen, (F.col("ax") + F.col("bx")) / 2), "y": F.when(seen, (F.col("ay") + F.col("by")) / 2)})
     f = f.withColumn("_len", F.when(seen, F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))))
-    w = Window.partitionBy("pass_id")
+    w = Window.partitionBy("pass_id").orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     at = F.when(F.col("x").isNotNull(), F.col("idx"))
     g = f.withColumns(
         {
