@@ -20,7 +20,7 @@ def _owned(rows: DataFrame, start: str, end: str, bin_us: int) -> DataFrame:
     length = F.col(end) - F.col(start)
     own = F.lit(LEVELS - 1)
     for k in range(LEVELS - 2, -1, -1):
-        own = F.when(length <= WIDTH * bin_us * WIDTH**k, k).otherwise(own)
+        own = F.when(length <= min(WIDTH * bin_us * WIDTH**k, 2**63 - 1), k).otherwise(own)
     return rows.filter(F.col(start).isNotNull() & F.col(end).isNotNull() & (F.col(start) <= F.col(end))).withColumn("_own", own)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, identity
+from ..operators import evaluation, identity, sightings
 from . import views
 from .registry import query, r6
 from .views import PAIRS
@@ -26,8 +26,8 @@ b AS (SELECT *, max(iou) OVER (PARTITION BY tracklet_id) AS best FROM j) SELECT
 )
 def anchor_region(spark, sf_dir):
     box = lambda x: F.struct(x.alias("x1"), F.lit(0.0).alias("y1"), (x + 30).alias("x2"), F.lit(10.0).alias("y2"))
-    p = _pairs(spark, sf_dir).withColumn("region", box(F.col("pos"))).withColumn("footprint", box(F.lit(40.0)))
-    return identity.refine_by_region(p).select("tracklet_id", "animal_id", "from_us")
+    t, n = views.tracklets(spark, sf_dir).withColumn("footprint", box(F.lit(40.0))), views.anchors(spark, sf_dir).withColumn("region", box(F.col("pos")))
+    return sightings.in_region(t, n)
 
 
 #: Every tracklet has a look, too: a similarity and a margin that depend on its id.
