@@ -101,24 +101,27 @@ def resolve(
 
     An anchor counts whatever its confidence. Several anchored animals are ambiguous and do not fall through to
     the visual match (tracklet_id, animal_id, similarity, margin), which must reach both floors and the margin.
+    pairs may be what sightings.seen makes of tracklets and anchors; without its names there are no candidates.
     """
-    first = F.min_by("confidence", F.struct("from_us")) if "from_us" in pairs.columns else F.max("confidence")
-    seen = pairs.groupBy("tracklet_id").agg(F.array_sort(F.collect_set(F.col("animal_id").cast("string"))).alias("_anchored"), first.alias("_conf"))
-    out = tracklets.select("tracklet_id").join(seen, "tracklet_id", "left")
+    if "_low" not in pairs.columns:
+        first = F.min_by("confidence", F.struct("from_us")) if "from_us" in pairs.columns else F.max("confidence")
+        animal = F.col("animal_id").cast("string")
+        pairs = pairs.groupBy("tracklet_id").agg(F.min(animal).alias("_low"), F.max(animal).alias("_high"), first.alias("_conf"), F.array_sort(F.collect_set(animal)).alias("_anchored"))
+    out = tracklets.select("tracklet_id").join(pairs, "tracklet_id", "left")
     if visual is not None:
         out = out.join(visual.select("tracklet_id", F.col("animal_id").cast("string").alias("_visual"), "similarity", "margin"), "tracklet_id", "left")
     else:
         out = out.withColumns({"_visual": F.lit(None).cast("string"), "similarity": F.lit(None).cast("double"), "margin": F.lit(None).cast("double")})
-    n = F.when(F.col("_anchored").isNull(), 0).otherwise(F.size("_anchored"))
+    n = F.when(F.col("_low").isNull(), 0).when(F.col("_low") == F.col("_high"), 1).otherwise(2)
     anchored, shown = n == 1, (n == 0) & F.col("_visual").isNotNull()
     looks = shown & (F.col("similarity") >= max(floor, similarity_floor)) & (F.col("margin") >= margin_floor)
     method = F.when(anchored, "external_anchor").when(looks, "visual_fallback").otherwise("unresolved")
     reason = F.when(anchored | looks, F.lit(None)).when(n > 1, "ambiguous_anchor").when(shown, "below_confidence_floor").otherwise("no_candidate")
     none = F.array().cast("array<string>")
+    candidates = [F.when(n > 1, F.col("_anchored")).when(shown & ~looks, F.array("_visual")).otherwise(none).alias("candidate_animal_ids")] if "_anchored" in pairs.columns else []
     return out.select(
-        "tracklet_id", method.alias("method"), F.when(anchored, F.get("_anchored", F.lit(0))).when(looks, F.col("_visual")).alias("animal_id"),
-        F.when(anchored, F.col("_conf")).when(shown, F.col("similarity")).otherwise(0.0).alias("confidence"), reason.alias("unresolved_reason"),
-        F.when(n > 1, F.col("_anchored")).when(shown & ~looks, F.array("_visual")).otherwise(none).alias("candidate_animal_ids"),
+        "tracklet_id", method.alias("method"), F.when(anchored, F.col("_low")).when(looks, F.col("_visual")).alias("animal_id"),
+        F.when(anchored, F.col("_conf")).when(shown, F.col("similarity")).otherwise(0.0).alias("confidence"), reason.alias("unresolved_reason"), *candidates,
     )
 
 

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,6 +127,52 @@ def _first(i: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, i[1:] != i[:-1]))
 
 
+def _seen(names: bool):
+    def each(t: pa.Table, n: pa.Table, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+        animal = n.column("animal_id").combine_chunks().dictionary_encode()
+        order = pc.sort_indices(animal.dictionary).to_numpy()
+        place = np.full(len(order) + 1, -1)
+        place[order] = np.arange(len(order))
+        code = place[animal.indices.fill_null(len(order)).to_numpy(zero_copy_only=False)]  # by name; -1: without
+        animals, many = animal.dictionary.take(pa.array(order)), len(order) + 1
+        starts = _first(i)
+        rows = i[starts]
+        # of the earliest anchors the one of least confidence, so that a tie has one answer
+        early = pc.sort_indices(n, sort_keys=[("from_us", "ascending"), ("confidence", "ascending")], null_placement="at_start").to_numpy()
+        rank = np.empty(len(early), dtype=np.int64)
+        rank[early] = np.arange(len(early))
+        earliest = pa.array(early[np.minimum.reduceat(rank[j], starts)])
+        known = code[j] >= 0
+        pairs = i[known] * many + code[j[known]]
+        pairs.sort()
+        pairs = pairs[_first(pairs)] if len(pairs) else pairs
+        of, which = pairs // many, pairs % many
+        begin, end = np.searchsorted(of, rows, "left"), np.searchsorted(of, rows, "right")
+        none, which = begin == end, np.append(which, 0)
+        name = lambda at: animals.take(pa.array(which[at], mask=none))
+        cols = {"tracklet_id": t.column("tracklet_id").combine_chunks().take(pa.array(rows)), "_low": name(np.minimum(begin, len(pairs))), "_high": name(np.maximum(end - 1, 0))}
+        cols |= {"_from": n.column("from_us").combine_chunks().take(earliest), "_conf": n.column("confidence").combine_chunks().take(earliest)}
+        if names:
+            cols["_anchored"] = pa.ListArray.from_arrays(pa.array(np.append(begin, len(pairs)), pa.int32()), animals.take(pa.array(which[:-1])))
+        return pa.RecordBatch.from_pydict(cols)
+
+    return each
+
+
+def seen(tracklets: DataFrame, anchors: DataFrame, names: bool = True, bin_us: int = DAY_US) -> DataFrame:
+    """The animals of the anchors that interval_join pairs with each tracklet: tracklet_id, _low and _high, the first and the last of them by name,
+    _conf, the confidence of the earliest anchor, and, if names, _anchored, all of them. Tracklets without an anchor have no row.
+    """
+    kind = tracklets.schema["tracklet_id"].dataType.simpleString()
+    right = {"animal_id": F.col("animal_id").cast("string"), "from_us": F.col("from_us").cast("long"), "confidence": F.col("confidence").cast("double")}
+    rows, _ = _dealt(tracklets, anchors, bin_us, {"tracklet_id": F.col("tracklet_id")}, right)
+    shape = f"tracklet_id {kind}, _low string, _high string, _from long, _conf double"
+    got = rows.mapInArrow(_in_groups(_seen(names)), shape + (", _anchored array<string>" if names else ""))
+    lists = F.collect_list("_anchored")  # a tracklet beside long anchors has one from each level
+    merged = [F.when(F.size(lists) == 1, lists[0]).otherwise(F.sort_array(F.array_distinct(F.flatten(lists)))).alias("_anchored")] if names else []
+    return got.groupBy("tracklet_id").agg(F.min("_low").alias("_low"), F.max("_high").alias("_high"), F.min_by("_conf", F.struct("_from", "_conf")).alias("_conf"), *merged)
+
+
 SIDES = ("x1", "y1", "x2", "y2")
 
 

@@ -40,10 +40,11 @@ res AS (SELECT tracklet_id, a, b, site, true_animal, CASE WHEN n = 1 THEN 'exter
   CASE WHEN n > 1 THEN many WHEN n = 0 AND NOT looks THEN visual ELSE '' END AS candidates FROM j)"""
 
 
-def _resolved(spark, sf_dir):
+def _resolved(spark, sf_dir, names=True):
+    """Tracklets and what they are resolved to; the candidates only where names are asked for."""
     t = views.tracklets(spark, sf_dir)
     look = t.select("tracklet_id", F.col("true_animal").alias("animal_id"), (0.5 + F.col("tracklet_id") % 50 / 100.0).alias("similarity"), (F.col("tracklet_id") % 10 / 100.0).alias("margin"))
-    return t, identity.resolve(t, _pairs(spark, sf_dir), look, margin_floor=0.02)
+    return t, identity.resolve(t, sightings.seen(t, views.anchors(spark, sf_dir), names), look, margin_floor=0.02)
 
 
 @query("identity_resolution", _RESOLVED + " SELECT tracklet_id, method, animal_id, confidence, unresolved_reason, candidates FROM res")
