@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import evaluation, identity, sightings
+from ..sources import files
 from . import views
 from .registry import query, r6
 from .views import PAIRS
@@ -75,15 +76,17 @@ _CONFLICTS = ", cf AS (SELECT x.animal_id, x.tracklet_id, y.tracklet_id AS other
 
 
 def _claimed(spark, sf_dir):
-    t, res = _resolved(spark, sf_dir)
+    """Resolved tracklets with their spans, written once: the conflicts read them several times."""
+    t, res = _resolved(spark, sf_dir, False)
     spans = t.select("tracklet_id", F.col("site_key").alias("source_id"), F.col("start_us").alias("first_frame"), F.col("end_us").alias("last_frame"))
-    return res.join(spans, "tracklet_id"), spans
+    rows = res.join(spans, "tracklet_id")
+    rows.write.parquet(path := files.scratch(spark, "claimed"))
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 @query("identity_conflicts", _RESOLVED + _CONFLICTS + " SELECT * FROM cf")
 def identity_conflicts(spark, sf_dir):
-    a, spans = _claimed(spark, sf_dir)
-    return identity.conflicts(a, identity.HOUR_US, spans).select("animal_id", "tracklet_id", "other_id")
+    return identity.conflicts(_claimed(spark, sf_dir), identity.HOUR_US).select("animal_id", "tracklet_id", "other_id")
 
 
 @query(
@@ -95,7 +98,9 @@ def identity_conflicts(spark, sf_dir):
   CASE WHEN h.tracklet_id IS NULL THEN candidates ELSE animal_id END AS candidates FROM res LEFT JOIN h USING (tracklet_id)""",
 )
 def identity_withheld(spark, sf_dir):
-    a, spans = _claimed(spark, sf_dir)
+    t, res = _resolved(spark, sf_dir)
+    spans = t.select("tracklet_id", F.col("site_key").alias("source_id"), F.col("start_us").alias("first_frame"), F.col("end_us").alias("last_frame"))
+    a = res.join(spans, "tracklet_id")
     out = identity.withhold(a, identity.conflicts(a, identity.HOUR_US, spans))
     return out.select("tracklet_id", "method", "animal_id", "unresolved_reason", F.concat_ws(",", "candidate_animal_ids").alias("candidates"))
 
