@@ -184,9 +184,13 @@ def conflicts(assigned: DataFrame, bin_us: int = 1 << 10, spans: DataFrame | Non
 
 
 def withhold(assigned: DataFrame, pairs: DataFrame) -> DataFrame:
-    """assigned with both sides of every conflict unresolved; the claimed animal stays as a candidate."""
+    """assigned with both sides of every conflict unresolved; the claimed animal stays as a candidate.
+
+    A tracklet without an animal is in no conflict, so its row, which may hold many candidates, is not moved.
+    assigned is read twice.
+    """
     hit = pairs.select("tracklet_id").union(pairs.select("other_id")).distinct().withColumnRenamed("tracklet_id", "_hit")
-    out = assigned.join(hit, F.col("tracklet_id") == F.col("_hit"), "left")
+    out = assigned.filter("animal_id IS NOT NULL").join(hit, F.col("tracklet_id") == F.col("_hit"), "left")
     gone = F.col("_hit").isNotNull()
 
     def changed(name: str, value: Column) -> dict[str, Column]:
@@ -194,7 +198,8 @@ def withhold(assigned: DataFrame, pairs: DataFrame) -> DataFrame:
 
     candidates = changed("candidate_animal_ids", F.array(F.col("animal_id").cast("string")))
     out = out.withColumns(candidates | changed("method", F.lit("unresolved")) | changed("unresolved_reason", F.lit("identity_conflict")))
-    return out.withColumn("animal_id", F.when(~gone, F.col("animal_id"))).drop("_hit")
+    out = out.withColumn("animal_id", F.when(~gone, F.col("animal_id"))).drop("_hit")
+    return out.unionByName(assigned.filter("animal_id IS NULL"))
 
 
 def colour_histogram(boxes: DataFrame, colours: int = 8) -> DataFrame:

@@ -75,9 +75,9 @@ def identity_accuracy(spark, sf_dir):
 _CONFLICTS = ", cf AS (SELECT x.animal_id, x.tracklet_id, y.tracklet_id AS other_id FROM res x JOIN res y ON x.animal_id = y.animal_id AND x.site = y.site AND x.tracklet_id < y.tracklet_id AND x.a <= y.b AND y.a <= x.b)"
 
 
-def _claimed(spark, sf_dir):
+def _claimed(spark, sf_dir, names=False):
     """Resolved tracklets with their spans, written once: the conflicts read them several times."""
-    t, res = _resolved(spark, sf_dir, False)
+    t, res = _resolved(spark, sf_dir, names)
     spans = t.select("tracklet_id", F.col("site_key").alias("source_id"), F.col("start_us").alias("first_frame"), F.col("end_us").alias("last_frame"))
     rows = res.join(spans, "tracklet_id")
     rows.write.parquet(path := files.scratch(spark, "claimed"))
@@ -98,10 +98,8 @@ def identity_conflicts(spark, sf_dir):
   CASE WHEN h.tracklet_id IS NULL THEN candidates ELSE animal_id END AS candidates FROM res LEFT JOIN h USING (tracklet_id)""",
 )
 def identity_withheld(spark, sf_dir):
-    t, res = _resolved(spark, sf_dir)
-    spans = t.select("tracklet_id", F.col("site_key").alias("source_id"), F.col("start_us").alias("first_frame"), F.col("end_us").alias("last_frame"))
-    a = res.join(spans, "tracklet_id")
-    out = identity.withhold(a, identity.conflicts(a, identity.HOUR_US, spans))
+    a = _claimed(spark, sf_dir, True)
+    out = identity.withhold(a, identity.conflicts(a, identity.HOUR_US))
     return out.select("tracklet_id", "method", "animal_id", "unresolved_reason", F.concat_ws(",", "candidate_animal_ids").alias("candidates"))
 
 
