@@ -41,7 +41,7 @@ res AS (SELECT tracklet_id, a, b, site, true_animal, CASE WHEN n = 1 THEN 'exter
   CASE WHEN n > 1 THEN many WHEN n = 0 AND NOT looks THEN visual ELSE '' END AS candidates FROM j)"""
 
 
-def _resolved(spark, sf_dir, names=True):
+def _resolved(spark, sf_dir, names=False):
     """Tracklets and what they are resolved to; the candidates only where names are asked for."""
     t = views.tracklets(spark, sf_dir)
     look = t.select("tracklet_id", F.col("true_animal").alias("animal_id"), (0.5 + F.col("tracklet_id") % 50 / 100.0).alias("similarity"), (F.col("tracklet_id") % 10 / 100.0).alias("margin"))
@@ -50,7 +50,7 @@ def _resolved(spark, sf_dir, names=True):
 
 @query("identity_resolution", _RESOLVED + " SELECT tracklet_id, method, animal_id, confidence, unresolved_reason, candidates FROM res")
 def identity_resolution(spark, sf_dir):
-    return _resolved(spark, sf_dir)[1].select("tracklet_id", "method", "animal_id", *r6("confidence"), "unresolved_reason", F.concat_ws(",", "candidate_animal_ids").alias("candidates"))
+    return _resolved(spark, sf_dir, True)[1].select("tracklet_id", "method", "animal_id", *r6("confidence"), "unresolved_reason", F.concat_ws(",", "candidate_animal_ids").alias("candidates"))
 
 
 @query("unresolved_reasons", _RESOLVED + " SELECT coalesce(unresolved_reason, 'resolved') AS reason, count(*) AS tracklets FROM res GROUP BY 1")
@@ -67,7 +67,7 @@ SELECT method, count(*) AS n, count(animal_id) AS resolved, count(*) FILTER (WHE
 )
 def identity_accuracy(spark, sf_dir):
     """One site keeps no truth; its tracklets count all the same."""
-    t, res = _resolved(spark, sf_dir, False)
+    t, res = _resolved(spark, sf_dir)
     truth = t.filter("site_key != 's7'").select("tracklet_id", F.col("true_animal").alias("animal_id"))
     return evaluation.identity_accuracy(res, truth).select("method", "n", "resolved", "correct", *r6("accuracy", "resolution_rate"))
 
